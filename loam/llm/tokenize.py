@@ -3,8 +3,9 @@
 Texts are cut into words by the vocabulary's pattern. Only distinct words are encoded: a fold over the bytes of a
 word merges, again and again, the adjacent pair whose concatenation has the lowest rank, until no pair has one. Ranks
 come from a literal map (an array of small maps, addressed by a checksum, as a lookup in a Spark map is a scan).
-The encoded words go back to the texts as a second literal map while their number stays under hot_words, a fixed
-bound; words beyond it, the rarest, take a shuffle join instead. Decoding concatenates the pieces' bytes.
+Texts travel through no shuffle: of the distinct chunks between spaces, with their ids, the most frequent (a fixed
+bound) are broadcast, and a second scan looks chunks up and joins their ids; a chunk that is not among them is merged
+on the spot by a heap, with the same result. Decoding concatenates the pieces' bytes.
 
 Bytes are held as ISO-8859-1 strings, one character a byte.
 
@@ -18,19 +19,25 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import pickle
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from loam.storage import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG_WORD = 400
-#: So many encoded words at most travel as a literal.
-HOT_WORDS = 200_000
+#: So many chunks at most are broadcast, and so many are kept by a worker.
+HOT_CHUNKS, KEPT = 200_000, 500_000
 
 _S = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NOT_S = "[^" + _S[1:]
@@ -138,33 +145,98 @@ def long_word_ids(path: str):
 
 
 def word_ids(distinct: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(word, n, ids) of (word, n): one row for each distinct word."""
-    ranks = load_ranks(vocabulary)
-    rank = literal_map({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
-    held = distinct.withColumn("__b", as_bytes(F.col("word"))).withColumn("__whole", look_up(rank, F.col("__b")))
-    whole = held.where("__whole is not null").select("word", "n", F.array("__whole").alias("ids"))
-    rest = held.where("__whole is null")
-    folded = rest.where(F.length("__b") <= LONG_WORD).select("word", "n", F.transform(fold_merges(F.col("__b"), rank), lambda s: look_up(rank, s)).alias("ids"))
-    long = rest.where(F.length("__b") > LONG_WORD).select("word", "n", long_word_ids(vocabulary)(F.col("__b")).alias("ids"))
-    return whole.unionByName(folded).unionByName(long)
-
-
-def encode(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, hot_words: int = HOT_WORDS, out: str = "ids") -> DataFrame:
-    """docs with the column out, the ids of text. key names a unique column."""
-    counted = docs.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    coded = word_ids(counted, vocabulary)
-    # The most frequent words only, so that what reaches the driver has a fixed bound.
-    hot = coded.orderBy(F.desc("n"), "word").limit(hot_words + 1).select("word", "ids").toPandas()
-    more = len(hot) > hot_words
-    held = literal_map({w: [int(i) for i in ids] for w, ids in zip(hot["word"][:hot_words], hot["ids"][:hot_words])}, "array<int>")
-    flat = lambda parts: F.flatten(parts)
-    if not more:
-        return docs.withColumn(out, F.coalesce(flat(F.transform(words(F.col(text)), lambda w: look_up(held, w))), F.array().cast("array<int>")))
-    parts = docs.withColumn("__w", words(F.col(text))).withColumn("__p", F.transform("__w", lambda w: look_up(held, w)))
-    cold = parts.select(key, F.explode(F.array_distinct(F.filter(F.zip_with("__w", "__p", lambda w, p: F.when(p.isNull(), w)), lambda w: w.isNotNull()))).alias("word"))
-    found = cold.join(coded.select("word", "ids"), "word").groupBy(F.col(key).alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__m"))
-    joined = parts.join(found, parts[key] == found["__k"], "left")
-    return joined.withColumn(out, flat(F.zip_with("__w", "__p", lambda w, p: F.coalesce(p, F.try_element_at(F.col("__m"), w))))).drop("__w", "__p", "__k", "__m")
+    """(word, word_ids) of (word): one row for each distinct word."""
+    literal, buckets = literal_map({k.decode("latin-1"): v for k, v in load_ranks(vocabulary).items()}, "int")
+
+    def code(word: Column, held: Column) -> Column:
+        whole = look_up((held, buckets), word)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(fold_merges(word, (held, buckets)), lambda s: look_up((held, buckets), s)))
+
+    held = distinct.withColumn("__b", as_bytes(F.col("word")))
+    # A lambda binds the literal, so that the plan holds it once.
+    short = held.where(F.length("__b") <= LONG_WORD).select("word", F.transform(F.array(literal), lambda m: code(F.col("__b"), m))[0].alias("word_ids"))
+    long = held.where(F.length("__b") > LONG_WORD).select("word", long_word_ids(vocabulary)(F.col("__b")).alias("word_ids"))
+    return short.unionByName(long)
+
+
+def knotted(text: Column) -> Column:
+    """Whether two spaces meet further white space."""
+    return text.rlike(f"  {_S}|{_S}  ")
+
+
+def chunk_ids(docs: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(chunk, n, ids): the ids of every distinct chunk of the texts, and how often it occurs.
+
+    Texts are cut before single spaces, where no word of the pattern crosses; knotted texts into their words.
+    """
+    some = docs.where(F.col(text) != "")
+    cut_up = some.where(~knotted(F.col(text))).select(F.posexplode(F.split(text, " ", -1)).alias("i", "p")).select(F.when(F.col("i") == 0, F.col("p")).otherwise(F.concat(F.lit(" "), F.col("p"))).alias("chunk"))
+    each = cut_up.unionByName(some.where(knotted(F.col(text))).select(F.explode(words(F.col(text))).alias("chunk")))
+    counted = cut(each.groupBy("chunk").agg(F.count("*").alias("n")))
+    parts = counted.select("chunk", "n", F.posexplode_outer(words(F.col("chunk"))).alias("i", "word"))
+    coded = word_ids(parts.where("word is not null").select("word").distinct(), vocabulary)
+    return parts.join(coded, "word", "left").groupBy("chunk").agg(F.max("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "word_ids"))), lambda x: F.coalesce(x["word_ids"], F.array().cast("array<int>")))).alias("ids"))
+
+
+class _Held(dict):
+    """Ids of chunks as bytes; a chunk that is not held is merged here, with the same result."""
+
+    def __init__(self, path: str, prefix: str) -> None:
+        super().__init__()
+        self.path, self.prefix, self.pattern = path, prefix, None
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.pattern is None:
+            self.pattern = re_words()
+        ranks = load_ranks(self.path)
+        out = np.asarray([i for w in self.pattern.findall(self.prefix + piece) for i in merge_bytes(w.encode(), ranks)], dtype="<i4").tobytes()
+        if len(self) < KEPT:
+            self[piece] = out
+        return out
+
+
+def re_words():
+    import regex
+
+    s = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+    return regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{s[1:-1]}\p{{L}}\p{{N}}]+|{s}+(?![^{s[1:]})|{s}+")
+
+
+def encode(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, hot_chunks: int = HOT_CHUNKS, out: str = "ids") -> DataFrame:
+    """(key, out): the ids of every text. Other columns are not kept."""
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", "0") or 0) > 1_000_000:
+        spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literal is not worth printing
+    # The most frequent chunks, so that what reaches the driver and the workers has a fixed bound.
+    hot = chunk_ids(docs, text, vocabulary).orderBy(F.desc("n"), "chunk").limit(hot_chunks).select("chunk", "ids").toArrow()
+    held = spark.sparkContext.broadcast(pickle.dumps((hot.column("chunk").to_pylist(), [np.asarray(x, dtype="<i4").tobytes() for x in hot.column("ids").to_pylist()])))
+    knot = re.compile("  [{0}]|[{0}]  ".format("\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, later = _Held(vocabulary, ""), _Held(vocabulary, " ")
+        for c, x in zip(*pickle.loads(held.value)):
+            if c[:1] == " ":
+                later[c[1:]] = x
+            else:
+                first[c] = x
+        pattern = None
+        for batch in batches:
+            rows = []
+            for t in batch.column(1).to_pylist():
+                if not t:
+                    rows.append(b"")
+                elif knot.search(t):
+                    pattern = pattern or re_words()
+                    rows.append(b"".join([later[w[1:]] if w[0] == " " else first[w] for w in pattern.findall(t)]))
+                else:
+                    p = t.split(" ")
+                    rows.append(first[p[0]] + b"".join(map(later.__getitem__, p[1:])))
+            ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype="int64").astype("int32")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, out])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(assemble, f"`{key}` {kind}, `{out}` array<int>")
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
