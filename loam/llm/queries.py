@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.text import WS
-from loam.llm import frame, mixing, repeated, residue, splitting, subjects, tokenize
+from loam.llm import frame, mixing, repeated, residue, scans, splitting, subjects, tokenize
 from loam.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found(table(spark, folder, "pdfs"))
+
+
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of files, repaired."""
+    return scans.repaired(table(spark, folder, "pdfs"))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(splitting.items(table(spark, folder, "pages"), table(spark, folder, "pdfs")))
 
@@ -94,6 +103,8 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_text": p1_text,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
