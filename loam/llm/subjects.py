@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SAMPLE = 20_000
+SAMPLE = 2_500
 BACKGROUND = 2
 SHARE = 0.25
 ROUNDS = 12
@@ -80,12 +80,12 @@ def factor(docs: list[set[str]], labels: list[Counter], subjects: list[str], rou
         return {}
     n, m, k = len(docs), len(vocab), len(subjects) + background
     rng = np.random.default_rng(11)
-    w = np.full((n, k), 0.02)
+    w = np.full((n, k), 0.02, dtype=np.float32)
     for i, lab in enumerate(labels):
         total = sum(lab.values()) or 1
         for s, x in lab.items():
             w[i, s] += x / total
-    w[:, len(subjects) :] = 0.3 + 0.1 * rng.random((n, background))
+    w[:, len(subjects) :] = 0.3 + 0.1 * rng.random((n, background), dtype=np.float32)
     by_col = np.argsort(c, kind="stable")
     starts_c = np.searchsorted(c[by_col], np.arange(m))
     starts_r = np.searchsorted(r, np.arange(n))
@@ -100,14 +100,14 @@ def factor(docs: list[set[str]], labels: list[Counter], subjects: list[str], rou
         return np.add.reduceat((w[r] * q[:, None])[by_col], starts_c, axis=0)
 
     # Start: H from the seeded W. Kullback-Leibler updates, as terms are counts.
-    h = h_numerator(np.ones(len(r))) / w.sum(0) + 1e-6
+    h = h_numerator(np.ones(len(r), dtype=np.float32)) / w.sum(0) + np.float32(1e-6)
     seeds = w.copy()
     for step in range(rounds):
-        q = 1 / np.maximum((w[r] * h[c]).sum(1), 1e-12)
+        q = 1 / np.maximum(np.einsum("ij,ij->i", w[r], h[c]), np.float32(1e-12))
         w *= sum_rows(h[c] * q[:, None]) / h.sum(0)
         # The seed stays as a weak prior, so that components keep their subjects.
         w = np.maximum(w, 1e-6) * (0.5 + 0.5 * seeds / seeds.max(1, keepdims=True)) if step < rounds // 2 else np.maximum(w, 1e-6)
-        q = 1 / np.maximum((w[r] * h[c]).sum(1), 1e-12)
+        q = 1 / np.maximum(np.einsum("ij,ij->i", w[r], h[c]), np.float32(1e-12))
         h *= h_numerator(q) / w.sum(0)
         h = np.maximum(h, 1e-9)
     mass = h * w.sum(0)
