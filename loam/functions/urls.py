@@ -14,3 +14,45 @@ def url_key(c: Column) -> Column:
 def site(c: Column) -> Column:
     """The lower-cased host of the url; null if there is none."""
     return F.lower(F.nullif(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+
+
+# File endings and parts of a url that a crawl skips.
+SKIPPED_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".css", ".js", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".map")
+SKIPPED_PARTS = ("mailto:", "tel:", "javascript:", "#", "/assets/", "/static/", "/locales/", "/images/", "/fonts/", "facebook.com", "twitter.com", "linkedin.com", "youtube.com", "google.com", "maps.google", "instagram.com")
+IMAGE_ENDINGS = r"\.(?:jpg|jpeg|png|gif|webp)$"
+
+
+def path(c: Column) -> Column:
+    """The path of an absolute url, without query and fragment."""
+    return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def first_segment(c: Column) -> Column:
+    """The first part of the path, lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(path(c), r"^/*([^/]+)", 1))
+
+
+def pdf_key(c: Column) -> Column:
+    """Identity of a file: without fragment and query, lower case."""
+    return F.lower(F.substring_index(F.substring_index(c, "#", 1), "?", 1))
+
+
+def is_valid(c: Column, domain: str) -> Column:
+    """Whether a crawl of domain follows the url (an absolute one). The host has to contain the domain."""
+    low = F.lower(c)
+    skipped = F.lit(False)
+    for e in SKIPPED_ENDINGS:
+        skipped = skipped | F.endswith(F.lower(path(c)), F.lit(e))
+    for p in SKIPPED_PARTS:
+        skipped = skipped | F.contains(low, F.lit(p))
+    return F.coalesce(F.contains(site(c), F.lit(domain)) & ~skipped, F.lit(False))
+
+
+def link_type(c: Column, domain: str) -> Column:
+    """pdf, image, internal or external, tested in this order."""
+    low = F.lower(c)
+    return F.when(F.contains(low, F.lit(".pdf")), "pdf").when(low.rlike(IMAGE_ENDINGS), "image").when(F.contains(low, F.lit(domain)), "internal").otherwise("external")
+
+
+def file_name(c: Column) -> Column:
+    return F.element_at(F.split(c, "/", -1), -1)

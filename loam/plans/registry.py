@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.plans import problems
+from loam.plans import corpus, problems
 
-FLAGSHIP = "p2_found"
-_MODULES = (problems,)
+FLAGSHIP = "cosine_topk"
+_MODULES = (problems, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
