@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.urls import site, url_key
-from loam.llm.pages import norm
+from loam.llm.pages import norm, norm_lines
 from loam.storage import cut
 
 #: Information (bits) up to which a node is frame: it is on a tenth of the pages or more.
@@ -39,7 +39,7 @@ def _ids(texts: Column) -> Column:
 def views(pages: DataFrame) -> DataFrame:
     """One row for each page: identifiers of its nodes. trails holds 0 for lines without separators."""
     where = F.coalesce(site(F.col("url")), F.lit(""))
-    lines = F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), norm)
+    lines = norm_lines(F.coalesce("content", F.lit("")))
     rows = F.flatten(F.transform(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), lambda t: F.transform(F.coalesce(t, F.array().cast("array<array<string>>")), lambda r: F.array_join(r, " "))))
     held = pages.select("page_id", F.xxhash64(where).alias("site"), F.xxhash64(F.coalesce(url_key(F.col("url")), F.concat(F.lit("#"), F.col("page_id").cast("string")))).alias("doc"), "title", "headings", "lists", rows.alias("rows"), lines.alias("text"))
     return held.select(

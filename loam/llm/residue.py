@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.urls import site, url_key
-from loam.llm.pages import norm
+from loam.llm.pages import norm_text
+from loam.storage import cut
 
 DEPTH, LONGEST = 3, 30
 #: A template on so many pages of a site, as a share of them, belongs to the frame.
@@ -94,9 +95,11 @@ NEEDED = r"\b(?:the|of|and|to|in|for|is|was|were|a|an|on|by|with|at|be|are|from|
 
 
 def messages(pages: DataFrame) -> DataFrame:
-    """(page_id, site, doc, message): distinct titles and lines of each page."""
-    lines = F.array_distinct(F.filter(F.transform(F.concat(F.array(F.coalesce("title", F.lit(""))), F.split(F.coalesce("content", F.lit("")), "\n", -1)), lambda x: F.regexp_replace(norm(x), r" ?[(\[](?:file )?[a-z]{5}[)\]]$", "")), lambda x: x != ""))
-    return pages.select("page_id", F.coalesce(site(F.col("url")), F.lit("")).alias("site"), F.coalesce(url_key(F.col("url")), F.lit("")).alias("doc"), F.explode(lines).alias("message"))
+    """(page_id, site, doc, message): distinct titles and lines of each page, without a file code at their end."""
+    text = F.regexp_replace(norm_text(F.concat_ws("\n", F.coalesce("title", F.lit("")), "content")), r" ?[(\[](?:file )?[a-z]{5}[)\]] ?(?=\n|$)", "")
+    lines = F.array_distinct(F.split(F.trim(text), " ?\n ?", -1))
+    each = pages.select("page_id", F.coalesce(site(F.col("url")), F.lit("")).alias("site"), F.coalesce(url_key(F.col("url")), F.lit("")).alias("doc"), F.explode(lines).alias("message"))
+    return each.where("message <> ''")
 
 
 def leaf(message: Column) -> Column:
@@ -106,14 +109,13 @@ def leaf(message: Column) -> Column:
     return F.when(n > LONGEST, F.xxhash64(message)).otherwise(F.xxhash64(n, F.array_join(F.slice(words, 1, DEPTH), " "), F.element_at(words, -1)))
 
 
-def templates(each: DataFrame) -> DataFrame:
-    """(leaf, template): the words that all messages of a leaf share, others as <*>."""
-    once = each.select("message").distinct().select(leaf(F.col("message")).alias("leaf"), "message")
-    words = once.where(F.size(F.split("message", " ")) <= LONGEST).select("leaf", F.posexplode(F.split("message", " ")).alias("at", "word"))
-    shared = words.groupBy("leaf", "at").agg(F.min("word").alias("a"), F.max("word").alias("b"))
-    short = shared.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>").alias("w")))).alias("t")).select("leaf", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("template"))
-    long = once.where(F.size(F.split("message", " ")) > LONGEST).select("leaf", F.col("message").alias("template"))
-    return short.unionByName(long)
+def templates(once: DataFrame) -> DataFrame:
+    """(leaf, template) of distinct messages (leaf, message): the words that a leaf's messages share, others as <*>."""
+    words = F.split("message", " ")
+    each = once.select("leaf", F.posexplode(F.when(F.size(words) > LONGEST, F.array("message")).otherwise(words)).alias("at", "word"))
+    shared = each.groupBy("leaf", "at").agg(F.min("word").alias("a"), F.max("word").alias("b"))
+    both = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>").alias("w"))))
+    return shared.groupBy("leaf").agg(both.alias("t")).select("leaf", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("template"))
 
 
 def is_residue(template: Column) -> Column:
@@ -132,9 +134,12 @@ def slots(pages: DataFrame) -> DataFrame:
 
 def residue_pages(pages: DataFrame) -> DataFrame:
     """(page_id): pages with residue in title or main body."""
-    each = messages(pages)
-    bad = templates(each).where(is_residue(F.col("template"))).select("leaf")
-    lines = each.withColumn("leaf", leaf(F.col("message"))).join(bad, "leaf", "left_semi").select("page_id", "site", "doc", "leaf")
+    each = messages(pages).withColumn("leaf", leaf(F.col("message")))
+    # A template can only have a cue that each of its messages has: the other leaves need no template.
+    once = each.select("leaf", "message").distinct().groupBy("leaf").agg(F.min("message").alias("one")).where(is_residue(F.col("one"))).select("leaf")
+    held = cut(each.join(once, "leaf", "left_semi"))
+    bad = templates(held.select("leaf", "message").distinct()).where(is_residue(F.col("template"))).select("leaf")
+    lines = held.join(bad, "leaf", "left_semi").select("page_id", "site", "doc", "leaf")
     sizes = pages.select(F.coalesce(site(F.col("url")), F.lit("")).alias("site"), F.coalesce(url_key(F.col("url")), F.lit("")).alias("doc")).distinct().groupBy("site").agg(F.count("*").alias("m"))
     used = lines.select("site", "leaf", "doc").distinct().groupBy("site", "leaf").agg(F.count("*").alias("k")).join(sizes, "site")
     all_ = used.groupBy("leaf").agg(F.sum("k").alias("ka"), F.sum("m").alias("ma"))
