@@ -25,7 +25,7 @@ FRAME_SHARE, FRAME_PAGES = 0.1, 3
 
 # Cues of messages that stand where real text should, in lower case with digits masked as 0.
 ERRORS = (
-    r"^(?:error )?0{0,1}(?: - page)?$",
+    r"^(?:error )?0(?: - page)?$",
     r"^(?:page )?not found\b",
     r"^error(?: 0)?$",
     r"^internal (?:server )?error\b",

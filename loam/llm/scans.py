@@ -10,8 +10,8 @@ rules, and generalises to noisy and single headers.
 Misread words: distinct words are joined to more frequent ones through an inverted index of positional 3-grams; a pair
 is aligned into edits (one or two characters for one or two). How much more often an edit occurs in wrapped files than
 in others tells recognition errors from real variation (names, plurals). Boosted trees rank the candidates; fitted on
-a bounded sample of pairs, with words of unwrapped files as the negative class. Words run together are found by a join
-of their two parts.
+a bounded sample of pairs, with words of unwrapped files as the negative class. Words run together or torn apart are found by joins
+with their parts.
 
 Broken words: a line that ends in a hyphen, with the next body line; a classifier on the frequencies of the joined word
 and the hyphenated form, as counts of the whole corpus, decides.
@@ -92,6 +92,7 @@ def line_features(lines: list[str], title: str | None, pages: int | None) -> tup
     t = pairs_of(masked(title or ""))
     titles = sum(likeness(g, t) > 0.7 for k, g in grams_.items() for i in among if m[i] == k)
     kind = {i: _NUMBER.match(s[i]) for i in at}
+    styled = any(kind[i] and not _BARE.match(s[i]) for i in at)  # pages are numbered in another style than bare numbers
     out, labels = [], []
     for n, i in enumerate(at):
         x = s[i]
@@ -100,7 +101,7 @@ def line_features(lines: list[str], title: str | None, pages: int | None) -> tup
         prev, nxt = (s[before] if n else ""), (s[after] if after >= 0 else "")
         number = bool(kind[i])
         bare = bool(_BARE.match(x))
-        stack = bare and ((before == i - 1 and bool(_BARE.match(prev))) or (after == i + 1 and bool(_BARE.match(nxt))))
+        stack = bare and (styled or (before == i - 1 and bool(_BARE.match(prev))) or (after == i + 1 and bool(_BARE.match(nxt))))
         full = is_full[i]
         ended = bool(_END.search(x))
         item = bool(_ITEM.match(x))
@@ -306,12 +307,27 @@ def odd_words(counts: DataFrame) -> DataFrame:
 def run_together(counts: DataFrame) -> DataFrame:
     """(word, replacement): words that are two trusted words without the space between them."""
     known = counts.where((F.col("n") >= TRUSTED * 3) & F.col("word").rlike(r"^[a-z]+(?:-[a-z]+)*$") & ((F.length("word") > 2) | F.col("word").isin("a", "an", "as", "at", "be", "by", "in", "is", "it", "no", "of", "on", "or", "to", "up", "we"))).select("word", "n")
-    asked = counts.where((F.col("n") < TRUSTED * 3) & (F.col("plain") == 0) & (F.length("word") >= 4) & F.col("word").rlike(r"^[a-z-]+$"))
+    asked = counts.where((F.col("plain") == 0) & (F.length("word") >= 4) & F.col("word").rlike(r"^[a-z-]+$"))
     cuts = asked.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")).select("word", "n", F.expr("substring(word, 1, i)").alias("a"), F.expr("substring(word, i + 1)").alias("b"))
     both = cuts.join(known.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     return both.where(F.least("na", "nb") >= 5 * F.col("n")).groupBy("word").agg(F.max(F.struct(F.least("na", "nb").alias("m"), F.concat_ws(" ", "a", "b").alias("r"))).alias("x")).select("word", F.col("x.r").alias("replacement"))
 
 
+def torn_apart(body: DataFrame, counts: DataFrame) -> DataFrame:
+    """(h, line_no, i, word, replacement): trusted words with a space inside them, as two neighbouring rows.
+
+    body has the words of lines (h, line_no, i, word); at least one part is no word of unwrapped files.
+    """
+    order = W.partitionBy("h", "line_no").orderBy("i")
+    pairs = body.select("h", "line_no", "i", F.col("word").alias("a"), F.lead("word").over(order).alias("b")).where(F.col("a").rlike("^[a-z]+$") & F.col("b").rlike("^[a-z]+$"))
+    known = counts.where((F.col("n") >= TRUSTED) & (F.col("plain") > 0) & (F.length("word") >= 4)).select(F.col("word").alias("joined"))
+    plain = counts.where("plain > 0")
+    named = pairs.withColumn("joined", F.concat("a", "b")).join(known, "joined")
+    rare = named.join(plain.select(F.col("word").alias("a"), F.lit(1).alias("pa")), "a", "left").join(plain.select(F.col("word").alias("b"), F.lit(1).alias("pb")), "b", "left").where("pa is null or pb is null")
+    two = F.array(F.struct(F.col("i"), F.col("a").alias("word"), F.col("joined").alias("replacement")), F.struct((F.col("i") + 1).alias("i"), F.col("b").alias("word"), F.lit("").alias("replacement")))
+    return rare.select("h", "line_no", F.explode(two).alias("x")).select("h", "line_no", "x.*")
+
+
 # Broken words ------------------------------------------------------------------------------------------------------
 
 
@@ -356,7 +372,9 @@ def damage(pdfs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     starts = breaks.select("h", F.col("next_no").alias("line_no")).distinct().withColumn("cont", F.lit(True))
     last = F.max("i").over(W.partitionBy("h", "line_no"))
     held = body.withColumn("last", last).join(ends, ["h", "line_no"], "left").join(starts, ["h", "line_no"], "left").where(~(F.coalesce("cut_", F.lit(False)) & (F.col("i") == F.col("last"))) & ~(F.coalesce("cont", F.lit(False)) & (F.col("i") == 0)))
-    found = held.select("h", "line_no", "i", bare_word(F.col("w")).alias("word")).join(wrong, "word").select("h", "line_no", "i", "word", "replacement")
+    body_words = held.select("h", "line_no", "i", bare_word(F.col("w")).alias("word"))
+    misread = body_words.join(wrong, "word").select("h", "line_no", "i", "word", "replacement")
+    found = misread.unionByName(torn_apart(body_words, counts))
     return keys, lines, breaks, found
 
 
@@ -409,7 +427,7 @@ def repair(text: str, fixes: list, cuts: list, gone: set[int]) -> str:
                 old = words[i][k : k + len(wrong)]
                 new = right.upper() if old.isupper() and len(old) > 1 else right[:1].upper() + right[1:] if old[:1].isupper() else right
                 words[i] = words[i][:k] + new + words[i][k + len(wrong) :]
-        line = " ".join(words)
+        line = " ".join(w for w in words if w)
         if out and join is not None:
             out[-1] += line
         elif out and not (blank and _END.search(out[-1])):
