@@ -13,8 +13,9 @@ in others tells recognition errors from real variation (names, plurals). Boosted
 a bounded sample of pairs, with words of unwrapped files as the negative class. Words run together or torn apart are found by joins
 with their parts.
 
-Broken words: a line that ends in a hyphen, with the next body line; a classifier on the frequencies of the joined word
-and the hyphenated form, as counts of the whole corpus, decides.
+Broken words: a line that ends in a hyphen is paired with the next body line. Where the whole corpus has the joined
+word, or the hyphenated form, or both parts as words, the counts decide; from those pairs a line-pair classifier learns
+to decide the others from the parts alone.
 
 Defined cases: null, empty and blank texts have no damage; texts with any line over WIDEST characters, or of one line,
 are not wrapped and have none; lines are numbered from 1, blank ones included; furniture has no other damage; equal
@@ -341,9 +342,26 @@ def line_breaks(lines: DataFrame, counts: DataFrame) -> DataFrame:
     named = named.withColumn("joined", F.concat("a", "b")).withColumn("dashed", F.concat("a", F.lit("-"), "b"))
     c = lambda col, name: counts.select(F.col("word").alias(col), F.col("n").alias(name))
     known = named.join(c("joined", "nj"), "joined", "left").join(c("dashed", "nd"), "dashed", "left").join(c("a", "na"), "a", "left").join(c("b", "nb"), "b", "left").fillna(0, ["nj", "nd", "na", "nb"])
-    # A hyphen that the word always has joins two words that stand alone, or a form that is written with it elsewhere.
-    kept = (F.col("nd") > F.col("nj")) | ((F.col("nj") == 0) & (F.col("na") >= TRUSTED) & (F.col("nb") >= TRUSTED) & (F.length("a") > 2) & (F.length("b") > 2))
-    return known.select("h", "line_no", "next_no", "a", "b", (~kept).alias("broken"))
+    # Clear cases by the counts of both forms; they teach the classifier that decides the rest (mostly rare names).
+    clear = F.when(F.col("nd") > F.col("nj"), 0).when(F.col("nj") >= TRUSTED, 1).when((F.col("na") >= TRUSTED) & (F.col("nb") >= TRUSTED) & (F.length("a") > 2) & (F.length("b") > 2) & (F.col("nj") == 0), 0).otherwise(-1)
+    ready = cut(known.select("h", "line_no", "next_no", "a", "b", "na", "nb", "soft", "nj", clear.alias("clear")))
+    sample = ready.where("clear >= 0").orderBy(F.xxhash64("h", "line_no"), "h", "line_no").limit(SAMPLE_PAIRS).toPandas()
+    model = Boosted(trees=40, depth=3).fit(break_features(sample), sample["clear"].to_numpy(float))
+    taught = sample["clear"].nunique() > 1
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            # Without both classes to learn from, a break is one unless both parts are words.
+            guess = model.predict(break_features(x)) > 0.5 if taught else ~((x["na"] >= TRUSTED) & (x["nb"] >= TRUSTED)).to_numpy(bool)
+            yield x[["h", "line_no", "next_no", "a", "b"]].assign(broken=np.where(x["clear"] >= 0, x["clear"] == 1, (x["nj"] > 0) | guess).astype(bool))
+
+    return ready.mapInPandas(decide, "h bigint, line_no int, next_no int, a string, b string, broken boolean")
+
+
+def break_features(x: pd.DataFrame) -> np.ndarray:
+    """A line end with a hyphen as seen without the joined form."""
+    log = lambda c: np.log1p(x[c].to_numpy(float))
+    return np.stack([log("na"), log("nb"), np.minimum(log("na"), log("nb")), x["a"].str.len().to_numpy(float), x["b"].str.len().to_numpy(float), x["soft"].to_numpy(float)], axis=1)
 
 
 # The operator ------------------------------------------------------------------------------------------------------
