@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from loam.functions.text import WS
 from loam.functions.urls import file_name, pdf_key
+from loam.operators.ranking import numbered
 
 # Most links of a question; score of a link among sources.
 LINKS_PER_QUESTION, LINK_SCORE = 5, 0.8
@@ -22,7 +23,7 @@ def page_link_stats(links: DataFrame) -> DataFrame:
 def pdf_ranking(links: DataFrame) -> DataFrame:
     """Pages by their number of file links; ties by url."""
     counts = page_link_stats(links).where("pdf > 0").select(F.col("source_url").alias("url"), F.col("pdf").alias("pdf_count"))
-    return counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("pdf_count"), "url")).cast("bigint"))
+    return numbered(counts, [F.desc("pdf_count"), F.col("url")], "place")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

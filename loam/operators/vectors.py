@@ -35,12 +35,12 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, least: float | None = None) -> DataFrame:
     """(q_id, vec_id, score): the k most similar vectors of each query, itself excepted; ties by id.
 
-    Queries are a stated set. They are read in blocks of fixed size; each block meets all vectors in one scan of
+    Queries are a stated set. They are read in blocks of about QUERY_BLOCK; each block meets all vectors in one scan of
     matrix products, partitions keep their own best k, and a window over the few rows left picks the best.
     """
-    held = queries.select("q_id", "embedding").where("embedding is not null").orderBy("q_id")
+    held = queries.select("q_id", "embedding").where("embedding is not null")
     blocks = (held.count() + QUERY_BLOCK - 1) // QUERY_BLOCK
-    numbered = held.withColumn("b", F.floor((F.row_number().over(W.orderBy("q_id")) - 1) / QUERY_BLOCK)) if blocks > 1 else held.withColumn("b", F.lit(0))
+    numbered = held.withColumn("b", F.pmod(F.xxhash64("q_id"), F.lit(max(blocks, 1))))
     out = None
     for b in range(max(blocks, 1)):
         q = numbered.where(F.col("b") == b).toPandas()

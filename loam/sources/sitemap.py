@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.storage import cut
+
 
 def locs(xml: Column) -> Column:
     """All locations of a sitemap or of an index."""
@@ -20,16 +22,17 @@ def entries(files: DataFrame, xml: str = "xml") -> DataFrame:
     return each.select(loc.alias("loc"), mod.alias("lastmod")).where("loc <> ''")
 
 
-def tree(files: DataFrame, roots: list[str], deepest: int = 10) -> DataFrame:
-    """(loc, lastmod) reached from root files over index files; files is (url, xml). A file is read once."""
-    todo, seen, out = list(roots), set(roots), None
+def tree(files: DataFrame, roots: DataFrame, deepest: int = 10) -> DataFrame:
+    """(loc, lastmod) reached from root files (url) over index files; files is (url, xml). A file is read once."""
+    frontier = cut(roots.select("url").distinct())
+    seen, out = frontier, None
     for _ in range(deepest):
-        level = files.where(F.col("url").isin(todo))
+        level = files.join(frontier, "url", "left_semi")
         part = entries(level.where(~F.col("xml").rlike("(?i)<sitemapindex")))
         out = part if out is None else out.unionByName(part)
-        # Index files name other files: a short list that steers the loop.
-        todo = [r[0] for r in level.where(F.col("xml").rlike("(?i)<sitemapindex")).select(F.explode(locs(F.col("xml")))).distinct().limit(50_000).collect() if r[0] not in seen]
-        seen.update(todo)
-        if not todo:
+        named = level.where(F.col("xml").rlike("(?i)<sitemapindex")).select(F.explode(locs(F.col("xml"))).alias("url")).distinct()
+        frontier = cut(named.join(seen, "url", "left_anti"))
+        if frontier.isEmpty():
             break
+        seen = seen.unionByName(frontier)
     return out.distinct()

@@ -143,7 +143,7 @@ def test_crawl(spark):
 
 def test_sitemaps(spark):
     files = spark.createDataFrame([("r", "<sitemapindex><sitemap><LOC> a.xml </LOC></sitemap><sitemap><loc>r</loc></sitemap></sitemapindex>"), ("a.xml", "<urlset><url><loc>u1</loc><lastmod> 2024-01-01 </lastmod></url><url><x/></url><url><loc>u2</loc></url></urlset>")], "url string, xml string")
-    assert {tuple(r) for r in sitemap.tree(files, ["r"]).collect()} == {("u1", "2024-01-01"), ("u2", None)}
+    assert {tuple(r) for r in sitemap.tree(files, spark.createDataFrame([("r",)], "url string")).collect()} == {("u1", "2024-01-01"), ("u2", None)}
 
 
 def test_dom(spark):
@@ -171,3 +171,11 @@ def test_pushdown_and_shuffles(spark, tiny):
     assert "IsNotNull(source_url)" in plan and "context" not in plan.split("ReadSchema")[1][:200]
     assert plan.count("HashAggregate") == 2
     assert items.LEAST_TEXT == 100
+
+
+def test_global_places(spark):
+    from loam.operators.ranking import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("n").alias("n")).repartition(7)
+    got = numbered(df, [F.desc("x")], "place").collect()
+    assert sorted((r["place"], r["x"]) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
