@@ -76,7 +76,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
 def mix(records: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 17, total: float | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(chosen, goals) of records (key, source, n_tokens): chosen is (key, source, n_tokens, uses) with uses over 0."""
     sizes = records.select(key, source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens")).where("source is not null and n_tokens > 0")
-    sizes = cut(sizes.join(F.broadcast(targets.select(source_name(F.col("source")).alias("source")).distinct().limit(100_000)), "source", "left_semi"))
+    sizes = cut(sizes.join(targets.select(source_name(F.col("source")).alias("source")).distinct(), "source", "left_semi"))
     goals = plan(sizes, targets, total)
     most = goals.agg(F.max("n")).first()[0] or 0
     fixed = sizes.join(goals.select("source", "m", "n"), "source").select(key, "source", "n_tokens", F.floor("m").cast("int").alias("base"), (F.col("m") - F.floor("m")).alias("frac"), F.expr(f"greatest(1, cast(ceil(n / {float(block)}) as bigint))").alias("blocks"))

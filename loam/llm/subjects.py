@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SAMPLE = 2_500
+#: The list of subjects is small by nature; more than this is an error.
+MOST_SUBJECTS = 1_000
 BACKGROUND = 2
 SHARE = 0.25
 ROUNDS = 12
@@ -136,15 +138,17 @@ def sentence_subjects(text: str | None, anchors: dict[str, tuple[int, float]]) -
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, tuple[int, float]]]:
     """(subjects, anchors) from at most sample labelled documents."""
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect())
+    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().take(MOST_SUBJECTS + 1))
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError("too many subjects for one factorisation")
     at = {s: i for i, s in enumerate(names)}
     one = labels.select("doc_id", "subject", "labeller").where("doc_id is not null").distinct()
     chosen = one.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    held = one.join(F.broadcast(chosen), "doc_id").toPandas()
+    held = one.join(chosen, "doc_id").toPandas()
     by: dict[int, Counter] = defaultdict(Counter)
     for d, s in zip(held["doc_id"], held["subject"]):
         by[d][s] += 1
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id", "left_semi")
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
