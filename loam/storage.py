@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,3 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df once in the shared checkpoint folder; later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a few numbers up to which the small side of a join is broadcast (some 10 MB).
+BROADCAST_ROWS = 300_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df materialised, with a broadcast hint if its counted rows are few; else the join shuffles as usual."""
+    held = cut(df)
+    return broadcast(held) if held.count() <= most else held
