@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.urls import site, url_key
 from loam.llm.pages import norm_text
-from loam.storage import cut
+from loam.storage import cut, sized
 
 DEPTH, LONGEST = 3, 30
 #: A template on so many pages of a site, as a share of them, belongs to the frame.
@@ -136,7 +136,7 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     """(page_id): pages with residue in title or main body."""
     each = messages(pages).withColumn("leaf", leaf(F.col("message")))
     # A template can only have a cue that each of its messages has: the other leaves need no template.
-    once = each.select("leaf", "message").distinct().groupBy("leaf").agg(F.min("message").alias("one")).where(is_residue(F.col("one"))).select("leaf")
+    once = sized(each.select("leaf", "message").distinct().groupBy("leaf").agg(F.min("message").alias("one")).where(is_residue(F.col("one"))).select("leaf"))
     held = cut(each.join(once, "leaf", "left_semi"))
     bad = templates(held.select("leaf", "message").distinct()).where(is_residue(F.col("template"))).select("leaf")
     lines = held.join(bad, "leaf", "left_semi").select("page_id", "site", "doc", "leaf")
