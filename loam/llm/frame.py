@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.urls import site, url_key
 from loam.llm.pages import norm, norm_lines
-from loam.storage import cut
+from loam.storage import cut, sized
 
 #: Information (bits) up to which a node is frame: it is on a tenth of the pages or more.
 LEAST_BITS = 3.33
@@ -74,7 +74,7 @@ def judged_views(held: DataFrame) -> DataFrame:
     """Views with the sets of their nodes that are frame, titles of the site, and often on the site."""
     nodes = F.array_distinct(F.concat("lines", "trails", F.flatten("lists")))
     each = held.select("page_id", "site", F.explode(nodes).alias("node")).where("node <> 0")
-    hits = each.join(tree(held), ["site", "node"]).groupBy("page_id").agg(*[F.collect_list(F.when(F.col(c), F.col("node"))).alias(f"__{c}") for c in ("frame", "title", "often")])
+    hits = each.join(sized(tree(held)), ["site", "node"]).groupBy("page_id").agg(*[F.collect_list(F.when(F.col(c), F.col("node"))).alias(f"__{c}") for c in ("frame", "title", "often")])
     none = F.array().cast("array<bigint>")
     return held.join(hits, "page_id", "left").withColumns({f"__{c}": F.coalesce(f"__{c}", none) for c in ("frame", "title", "often")})
 
