@@ -17,8 +17,9 @@ Broken words: a line that ends in a hyphen is paired with the next body line. Wh
 word, or the hyphenated form, or both parts as words, the counts decide; from those pairs a line-pair classifier learns
 to decide the others from the parts alone.
 
-Defined cases: null, empty and blank texts have no damage; texts with any line over WIDEST characters, or of one line,
-are not wrapped and have none; lines are numbered from 1, blank ones included; furniture has no other damage; equal
+Defined cases: null, empty and blank texts have no damage; texts of one line, and texts whose
+lines are mostly wide, are not wrapped and have none: of the lines with white space inside (of all lines if none has)
+more than a tenth is over WIDEST characters; one long token does not decide; lines are numbered from 1, blank ones included; furniture has no other damage; equal
 copies of a row have equal results; files of other columns are untouched.
 """
 
@@ -39,6 +40,8 @@ from loam.llm.boosting import Boosted
 from loam.storage import cut
 
 WIDEST = 100
+#: Share of the lines with white space that must not be wider.
+BULK = 0.9
 #: Bounds of the samples that are fitted on.
 SAMPLE_FILES, SAMPLE_PAIRS = 1500, 20_000
 #: Characters that a misread line may lack to its width.
@@ -58,8 +61,12 @@ _END = re.compile(r"[.?!।:;][\"')\]]*$")
 
 
 def is_wrapped(text: Column) -> Column:
-    widths = F.transform(F.split(text, "\n", -1), lambda x: F.length(x))
-    return F.coalesce((F.size(widths) > 1) & (F.array_max(widths) <= WIDEST), F.lit(False))
+    """Whether the bulk of the lines is narrow; a line of one token cannot be wrapped and tells nothing."""
+    lines = F.split(text, "\n", -1)
+    spaced = F.filter(lines, lambda x: F.trim(x).rlike(r"\S\s+\S"))
+    widths = F.array_sort(F.transform(F.when(F.size(spaced) > 0, spaced).otherwise(lines), lambda x: F.length(x)))
+    bulk = F.element_at(widths, F.ceil(F.size(widths) * BULK).cast("int"))
+    return F.coalesce((F.size(lines) > 1) & (bulk <= WIDEST), F.lit(False))
 
 
 # Furniture ---------------------------------------------------------------------------------------------------------
@@ -309,7 +316,11 @@ def run_together(counts: DataFrame) -> DataFrame:
     """(word, replacement): words that are two trusted words without the space between them."""
     known = counts.where((F.col("n") >= TRUSTED * 3) & F.col("word").rlike(r"^[a-z]+(?:-[a-z]+)*$") & ((F.length("word") > 2) | F.col("word").isin("a", "an", "as", "at", "be", "by", "in", "is", "it", "no", "of", "on", "or", "to", "up", "we"))).select("word", "n")
     asked = counts.where((F.col("plain") == 0) & (F.length("word") >= 4) & F.col("word").rlike(r"^[a-z-]+$"))
-    cuts = asked.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")).select("word", "n", F.expr("substring(word, 1, i)").alias("a"), F.expr("substring(word, i + 1)").alias("b"))
+    # No part is longer than the longest trusted word: a long token has few cuts, or none.
+    longest = known.agg(F.max(F.length("word"))).first()[0] or 0
+    asked = asked.where(F.length("word") <= 2 * longest)
+    at = F.sequence(F.greatest(F.lit(1), F.length("word") - longest), F.least(F.length("word") - 1, F.lit(longest)))
+    cuts = asked.select("word", "n", F.explode(at).alias("i")).select("word", "n", F.expr("substring(word, 1, i)").alias("a"), F.expr("substring(word, i + 1)").alias("b"))
     both = cuts.join(known.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     return both.where(F.least("na", "nb") >= 5 * F.col("n")).groupBy("word").agg(F.max(F.struct(F.least("na", "nb").alias("m"), F.concat_ws(" ", "a", "b").alias("r"))).alias("x")).select("word", F.col("x.r").alias("replacement"))
 

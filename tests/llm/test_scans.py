@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from loam.llm import scans
 from loam.llm.boosting import Boosted
@@ -63,6 +64,21 @@ def test_empty_and_repeated(spark):
     assert a == {tuple(r) for r in scans.found(df).collect() if r["damage"] != "chars"}
 
 
+def test_wrapped_by_the_bulk(spark):
+    narrow, wide = "\n".join(wrap(WORDS * 4)), " ".join(WORDS * 4)
+    rolls = ",".join(f"2021UGCS{i:03}" for i in range(200))
+    texts = {narrow: True, f"{narrow}\n{rolls}": True, f"{wide}\n{wide}": False, f"Short head\n{wide}": False, f"{rolls}\n": False, narrow.replace("\n", " "): False, f"{wide}\n": False, "a\nb": True}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scans.is_wrapped(F.col("t")).alias("w")).collect()
+    assert {r["t"]: r["w"] for r in got} == texts
+
+
+def test_long_token_does_not_remove_a_scan(spark):
+    rows, damaged = corpus()
+    odd = [*damaged, ",".join(f"2021UGCS{i:03}" for i in range(200))]
+    df = spark.createDataFrame([(*r, "e", "h") for r in [*rows[:-1], (100, "Odd file", "\n".join(odd), 2)]], SCHEMA)
+    assert {(100, 10, "furniture"), (100, 11, "furniture"), (100, 6, "hyphen")} <= {tuple(r) for r in scans.found(df).collect()}
+
+
 def test_edits():
     assert scans.edits("modern", "rnodern") == ["m>rn"] and scans.edits("under", "uncler") == ["d>cl"] and scans.edits("point", "po.int") == [">."] and scans.edits("a", "a") == []
 
