@@ -50,6 +50,8 @@ SLACK = 6
 FEATURES = 26
 #: A word is trusted from so many occurrences, and a candidate is so many times as frequent as its misreading.
 TRUSTED, RATIO = 6, 3
+#: A word belongs to undamaged text if its share of occurrences in unwrapped files is over this part of all words' share.
+KNOWN = 0.2
 # Characters that stand for a hyphen at a line's end.
 HYPHENS = "-‐¬­"
 
@@ -184,9 +186,14 @@ def bare_word(c: Column) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, plain): distinct words, how often they occur, and how often in files that are not wrapped."""
+    """(word, n, plain, known): distinct words, how often they occur, how often in files that are not wrapped, and
+    whether that is about as often as a word of such files should."""
     each = texts.select("wrapped", F.explode(F.split("text", r"\s+")).alias("w")).select("wrapped", bare_word(F.col("w")).alias("word"))
-    return each.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("plain"))
+    counts = cut(each.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("plain")))
+    # A rate, as any misreading gets into some unwrapped file once the corpus is large.
+    whole = counts.agg(F.sum("plain").alias("plain"), F.sum("n").alias("n")).first()
+    usual = (whole["plain"] or 0) / (whole["n"] or 1)
+    return counts.withColumn("known", F.col("plain") > F.col("n") * (KNOWN * usual))
 
 
 def grams(word: Column) -> Column:
@@ -200,13 +207,13 @@ VOWEL = "[aeiouy@0136!5]"
 
 
 def candidates(counts: DataFrame) -> DataFrame:
-    """(word, n, plain, other, n_other): pairs of a word and a more frequent one that is near."""
+    """(word, n, known, other, n_other): pairs of a word and a more frequent one that is near."""
     fit_ = counts.where(F.length("word").between(3, 24) & F.col("word").rlike(r"[a-z]") & F.col("word").rlike(VOWEL))
     trusted = fit_.where((F.col("n") >= TRUSTED) & F.col("word").rlike(r"^[a-z]+(?:-[a-z]+)*$")).select(F.col("word").alias("other"), F.col("n").alias("n_other"))
     index = trusted.select("other", "n_other", F.explode(grams(F.col("other"))).alias("x")).select("other", "n_other", F.explode(F.array(F.col("x.at") - 1, F.col("x.at"), F.col("x.at") + 1)).alias("at"), "x.g")
-    asked = fit_.select("word", "n", "plain", F.explode(grams(F.col("word"))).alias("x")).select("word", "n", "plain", "x.at", "x.g")
+    asked = fit_.select("word", "n", "known", F.explode(grams(F.col("word"))).alias("x")).select("word", "n", "known", "x.at", "x.g")
     met = asked.join(index, ["g", "at"]).where((F.col("word") != F.col("other")) & (F.col("n_other") >= RATIO * F.col("n")) & (F.abs(F.length("word") - F.length("other")) <= 2))
-    near = met.groupBy("word", "other").agg(F.max("n").alias("n"), F.max("plain").alias("plain"), F.max("n_other").alias("n_other"), F.count("*").alias("met")).where(F.col("met") >= F.greatest(F.lit(1), F.length("word") - 6))
+    near = met.groupBy("word", "other").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.max("n_other").alias("n_other"), F.count("*").alias("met")).where(F.col("met") >= F.greatest(F.lit(1), F.length("word") - 6))
     most = F.when(F.length("word") <= 4, 2).when(F.length("word") <= 9, 3).otherwise(4)
     return near.where(F.levenshtein("word", "other") <= most).drop("met")
 
@@ -243,15 +250,15 @@ def pair_edits(pairs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(edits=[edits(o, w) for w, o in zip(b["word"], b["other"])])
 
-    return pairs.mapInPandas(run, "word string, other string, n bigint, plain bigint, n_other bigint, edits array<string>").where(F.size("edits") <= F.when(F.length("word") >= 9, 3).when(F.length("word") >= 5, 2).otherwise(1))
+    return pairs.mapInPandas(run, "word string, other string, n bigint, known boolean, n_other bigint, edits array<string>").where(F.size("edits") <= F.when(F.length("word") >= 9, 3).when(F.length("word") >= 5, 2).otherwise(1))
 
 
 def edit_odds(pairs: DataFrame) -> DataFrame:
     """(edit, odds): log of how much more often an edit occurs for words of wrapped files than for others."""
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy(F.size("edits"), F.desc("n_other"), "other"))).where("r = 1")
     # By number of distinct words, so that one frequent word does not make an edit.
-    each = best.select(F.explode(F.array_distinct("edits")).alias("edit"), (F.col("plain") > 0).cast("int").alias("p"))
-    whole = best.agg(F.count_if(F.col("plain") > 0).alias("a"), F.count_if(F.col("plain") == 0).alias("b")).first()
+    each = best.select(F.explode(F.array_distinct("edits")).alias("edit"), F.col("known").cast("int").alias("p"))
+    whole = best.agg(F.count_if("known").alias("a"), F.count_if(~F.col("known")).alias("b")).first()
     odds = each.groupBy("edit").agg(F.sum("p").alias("a"), (F.count("*") - F.sum("p")).alias("b")).select("edit", (F.log((F.col("b") + 0.3) / (F.col("a") + 0.3)) - math.log(((whole["b"] or 0) + 1) / ((whole["a"] or 0) + 1))).alias("odds"), F.col("b").alias("seen"))
     top = F.max(F.when(F.col("odds") > 0, F.col("seen"))).over(W.partitionBy())
     return odds.withColumn("usual", F.col("seen") / F.coalesce(top, F.lit(1)))
@@ -284,10 +291,10 @@ def corrections(counts: DataFrame) -> DataFrame:
     pairs = cut(pair_edits(candidates(counts)))
     odds = edit_odds(pairs)
     each = pairs.select("word", "other", F.explode("edits").alias("edit")).join(odds, "edit").groupBy("word", "other").agg(F.min("odds").alias("least"), F.sum("odds").alias("total"), F.min("seen").alias("seen"), F.min("usual").alias("usual"))
-    ready = cut(pairs.join(each, ["word", "other"]).select("word", "other", "n", "plain", "n_other", F.size("edits").alias("k"), "least", "total", "seen", "usual", (F.length("word") - F.length("other")).alias("length_gap")))
+    ready = cut(pairs.join(each, ["word", "other"]).select("word", "other", "n", "known", "n_other", F.size("edits").alias("k"), "least", "total", "seen", "usual", (F.length("word") - F.length("other")).alias("length_gap")))
     first = ready.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy("k", F.desc("total"), F.desc("n_other"), "other"))).where("r = 1").drop("r")
     sample = first.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_PAIRS).toPandas()
-    y = (sample["plain"] == 0).to_numpy(float)
+    y = (~sample["known"].astype(bool)).to_numpy(float)
     weight = np.where(y == 1, 1.0, (y.sum() + 1) / max(1.0, (1 - y).sum()))
     model = Boosted(trees=60, depth=3, least=8).fit(pair_features(sample), y, weight) if len(sample) else Boosted().fit(np.zeros((0, len(PAIR_FEATURES))), np.zeros(0))
 
@@ -296,7 +303,7 @@ def corrections(counts: DataFrame) -> DataFrame:
             p = model.predict(pair_features(b)) if len(b) else np.zeros(0)
             yield b.assign(p=p)[["word", "other", "n_other", "k", "total", "p"]]
 
-    ranked = ready.where((F.col("plain") == 0) & (F.col("least") > LEAST_ODDS) & (F.col("usual") >= LEAST_SEEN)).mapInPandas(score, "word string, other string, n_other bigint, k int, total double, p double").where(F.col("p") >= MISREAD)
+    ranked = ready.where(~F.col("known") & (F.col("least") > LEAST_ODDS) & (F.col("usual") >= LEAST_SEEN)).mapInPandas(score, "word string, other string, n_other bigint, k int, total double, p double").where(F.col("p") >= MISREAD)
     best = ranked.groupBy("word").agg(F.max(F.struct(-F.col("k"), F.round("total", 1), "p", "n_other", "other")).alias("b"))
     return best.select("word", F.col("b.other").alias("replacement"))
 
@@ -307,15 +314,15 @@ LEAST_SEEN = 0.03
 
 
 def odd_words(counts: DataFrame) -> DataFrame:
-    """(word, replacement): words with a sign inside that no word of unwrapped files has, whatever the word is."""
-    odd = counts.where((F.col("plain") == 0) & F.col("word").rlike(r"^(?:[a-z@!0156-]*[a-z][@!0156][a-z-]+|[@!0156][a-z]{2,}|[a-z-]{2,}[@!0156]|[a-z]{2,}[.'][a-z]{2,})$") & F.col("word").rlike(r"[a-z].*[a-z]"))
+    """(word, replacement): words with a sign inside that are not known from unwrapped files, whatever the word is."""
+    odd = counts.where(~F.col("known") & F.col("word").rlike(r"^(?:[a-z@!0156-]*[a-z][@!0156][a-z-]+|[@!0156][a-z]{2,}|[a-z-]{2,}[@!0156]|[a-z]{2,}[.'][a-z]{2,})$") & F.col("word").rlike(r"[a-z].*[a-z]"))
     return odd.select("word", F.regexp_replace(F.translate("word", "0156@!", "olsbai"), "[.']", "").alias("replacement"))
 
 
 def run_together(counts: DataFrame) -> DataFrame:
     """(word, replacement): words that are two trusted words without the space between them."""
     known = counts.where((F.col("n") >= TRUSTED * 3) & F.col("word").rlike(r"^[a-z]+(?:-[a-z]+)*$") & ((F.length("word") > 2) | F.col("word").isin("a", "an", "as", "at", "be", "by", "in", "is", "it", "no", "of", "on", "or", "to", "up", "we"))).select("word", "n")
-    asked = counts.where((F.col("plain") == 0) & (F.length("word") >= 4) & F.col("word").rlike(r"^[a-z-]+$"))
+    asked = counts.where(~F.col("known") & (F.length("word") >= 4) & F.col("word").rlike(r"^[a-z-]+$"))
     # No part is longer than the longest trusted word: a long token has few cuts, or none.
     longest = known.agg(F.max(F.length("word"))).first()[0] or 0
     asked = asked.where(F.length("word") <= 2 * longest)
@@ -328,12 +335,12 @@ def run_together(counts: DataFrame) -> DataFrame:
 def torn_apart(body: DataFrame, counts: DataFrame) -> DataFrame:
     """(h, line_no, i, word, replacement): trusted words with a space inside them, as two neighbouring rows.
 
-    body has the words of lines (h, line_no, i, word); at least one part is no word of unwrapped files.
+    body has the words of lines (h, line_no, i, word); at least one part is not known from unwrapped files.
     """
     order = W.partitionBy("h", "line_no").orderBy("i")
     pairs = body.select("h", "line_no", "i", F.col("word").alias("a"), F.lead("word").over(order).alias("b")).where(F.col("a").rlike("^[a-z]+$") & F.col("b").rlike("^[a-z]+$"))
-    known = counts.where((F.col("n") >= TRUSTED) & (F.col("plain") > 0) & (F.length("word") >= 4)).select(F.col("word").alias("joined"))
-    plain = counts.where("plain > 0")
+    known = counts.where((F.col("n") >= TRUSTED) & F.col("known") & (F.length("word") >= 4)).select(F.col("word").alias("joined"))
+    plain = counts.where("known")
     named = pairs.withColumn("joined", F.concat("a", "b")).join(known, "joined")
     rare = named.join(plain.select(F.col("word").alias("a"), F.lit(1).alias("pa")), "a", "left").join(plain.select(F.col("word").alias("b"), F.lit(1).alias("pb")), "b", "left").where("pa is null or pb is null")
     two = F.array(F.struct(F.col("i"), F.col("a").alias("word"), F.col("joined").alias("replacement")), F.struct((F.col("i") + 1).alias("i"), F.col("b").alias("word"), F.lit("").alias("replacement")))
@@ -391,7 +398,7 @@ def damage(pdfs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     files = cut(files)
     wrapped = files.where("wrapped").drop("wrapped")
     lines = cut(body_lines(wrapped, fit_furniture(wrapped)))
-    counts = cut(word_counts(files))
+    counts = word_counts(files)
     ranked = corrections(counts).withColumn("o", F.lit(2)).unionByName(run_together(counts).withColumn("o", F.lit(1))).unionByName(odd_words(counts).withColumn("o", F.lit(3)))
     wrong = ranked.groupBy("word").agg(F.min_by("replacement", "o").alias("replacement"))
     breaks = cut(line_breaks(lines, counts))

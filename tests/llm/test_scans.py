@@ -79,6 +79,14 @@ def test_long_token_does_not_remove_a_scan(spark):
     assert {(100, 10, "furniture"), (100, 11, "furniture"), (100, 6, "hyphen")} <= {tuple(r) for r in scans.found(df).collect()}
 
 
+def test_one_clean_occurrence_does_not_trust_a_misreading(spark):
+    rows, _ = corpus()
+    rows[0] = (0, "File 0", rows[0][2] + " rcport officc", 1)
+    got = {tuple(r) for r in scans.found(spark.createDataFrame([(*r, "e", "h") for r in rows], SCHEMA)).collect()}
+    wrong = {(i, n) for i, _, t, _ in rows if 40 <= i < 80 for n, l in enumerate(t.split("\n"), 1) if "rcport" in l or "officc" in l}
+    assert len(wrong & {(p, n) for p, n, d in got if d == "chars"}) > 0.9 * len(wrong)
+
+
 def test_edits():
     assert scans.edits("modern", "rnodern") == ["m>rn"] and scans.edits("under", "uncler") == ["d>cl"] and scans.edits("point", "po.int") == [">."] and scans.edits("a", "a") == []
 
