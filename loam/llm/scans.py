@@ -52,6 +52,8 @@ FEATURES = 26
 TRUSTED, RATIO = 6, 3
 #: A word belongs to undamaged text if its share of occurrences in unwrapped files is over this part of all words' share.
 KNOWN = 0.2
+#: Mark of a piece of a broken word: a character that no word has.
+PIECE = "\ue000"
 # Characters that stand for a hyphen at a line's end.
 HYPHENS = "-‐¬­"
 
@@ -186,10 +188,12 @@ def bare_word(c: Column) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, plain, known): distinct words, how often they occur, how often in files that are not wrapped, and
-    whether that is about as often as a word of such files should."""
-    each = texts.select("wrapped", F.explode(F.split("text", r"\s+")).alias("w")).select("wrapped", bare_word(F.col("w")).alias("word"))
-    counts = cut(each.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("plain")))
+    """(word, n, plain, whole, known): distinct words, how often they occur, how often in files that are not wrapped,
+    how often other than beside a hyphen at a line's end, and whether they are known from files that are not wrapped."""
+    # Pieces of broken words carry a mark, which bare_word takes off.
+    marked = F.when(F.col("wrapped"), F.regexp_replace("text", rf"(\S+[{HYPHENS}])\s*\n\s*(\S+)", f"{PIECE}$1 {PIECE}$2")).otherwise(F.col("text"))
+    each = texts.select("wrapped", F.explode(F.split(marked, r"\s+")).alias("w")).select("wrapped", (~F.startswith("w", F.lit(PIECE))).alias("whole"), bare_word(F.col("w")).alias("word"))
+    counts = cut(each.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("plain"), F.count_if("whole").alias("whole")))
     # A rate, as any misreading gets into some unwrapped file once the corpus is large.
     whole = counts.agg(F.sum("plain").alias("plain"), F.sum("n").alias("n")).first()
     usual = (whole["plain"] or 0) / (whole["n"] or 1)
@@ -208,7 +212,7 @@ VOWEL = "[aeiouy@0136!5]"
 
 def candidates(counts: DataFrame) -> DataFrame:
     """(word, n, known, other, n_other): pairs of a word and a more frequent one that is near."""
-    fit_ = counts.where(F.length("word").between(3, 24) & F.col("word").rlike(r"[a-z]") & F.col("word").rlike(VOWEL))
+    fit_ = counts.where((F.col("whole") > 0) & F.length("word").between(3, 24) & F.col("word").rlike(r"[a-z]") & F.col("word").rlike(VOWEL))
     trusted = fit_.where((F.col("n") >= TRUSTED) & F.col("word").rlike(r"^[a-z]+(?:-[a-z]+)*$")).select(F.col("word").alias("other"), F.col("n").alias("n_other"))
     index = trusted.select("other", "n_other", F.explode(grams(F.col("other"))).alias("x")).select("other", "n_other", F.explode(F.array(F.col("x.at") - 1, F.col("x.at"), F.col("x.at") + 1)).alias("at"), "x.g")
     asked = fit_.select("word", "n", "known", F.explode(grams(F.col("word"))).alias("x")).select("word", "n", "known", "x.at", "x.g")
@@ -254,18 +258,19 @@ def pair_edits(pairs: DataFrame) -> DataFrame:
 
 
 def edit_odds(pairs: DataFrame) -> DataFrame:
-    """(edit, odds): log of how much more often an edit occurs for words of wrapped files than for others."""
+    """(edit, odds, seen, shown, usual): log of how much more often an edit occurs for words of wrapped files than for
+    others; how many words have it in either; its frequency against that of the most usual edit."""
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy(F.size("edits"), F.desc("n_other"), "other"))).where("r = 1")
     # By number of distinct words, so that one frequent word does not make an edit.
     each = best.select(F.explode(F.array_distinct("edits")).alias("edit"), F.col("known").cast("int").alias("p"))
     whole = best.agg(F.count_if("known").alias("a"), F.count_if(~F.col("known")).alias("b")).first()
-    odds = each.groupBy("edit").agg(F.sum("p").alias("a"), (F.count("*") - F.sum("p")).alias("b")).select("edit", (F.log((F.col("b") + 0.3) / (F.col("a") + 0.3)) - math.log(((whole["b"] or 0) + 1) / ((whole["a"] or 0) + 1))).alias("odds"), F.col("b").alias("seen"))
+    odds = each.groupBy("edit").agg(F.sum("p").alias("a"), (F.count("*") - F.sum("p")).alias("b")).select("edit", (F.log((F.col("b") + 0.3) / (F.col("a") + 0.3)) - math.log(((whole["b"] or 0) + 1) / ((whole["a"] or 0) + 1))).alias("odds"), F.col("b").alias("seen"), F.col("a").alias("shown"))
     top = F.max(F.when(F.col("odds") > 0, F.col("seen"))).over(W.partitionBy())
     return odds.withColumn("usual", F.col("seen") / F.coalesce(top, F.lit(1)))
 
 
 _ODD = re.compile(r"[^a-z-]")
-PAIR_FEATURES = ["least", "total", "seen", "edits", "log_n", "log_other", "log_ratio", "length", "odd", "gap"]
+PAIR_FEATURES = ["least", "total", "seen", "edits", "log_n", "log_other", "log_ratio", "length", "odd", "gap", "usual", "shown"]
 
 
 def pair_features(rows: pd.DataFrame) -> np.ndarray:
@@ -281,6 +286,8 @@ def pair_features(rows: pd.DataFrame) -> np.ndarray:
             rows["word"].str.len().to_numpy(float),
             rows["word"].map(lambda w: bool(_ODD.search(w))).to_numpy(float),
             rows["length_gap"].to_numpy(float),
+            rows["usual"].to_numpy(float),
+            (rows["shown"] > 0).to_numpy(float),
         ],
         axis=1,
     )
@@ -290,8 +297,8 @@ def corrections(counts: DataFrame) -> DataFrame:
     """(word, replacement): misread words with the candidate that ranks first."""
     pairs = cut(pair_edits(candidates(counts)))
     odds = edit_odds(pairs)
-    each = pairs.select("word", "other", F.explode("edits").alias("edit")).join(odds, "edit").groupBy("word", "other").agg(F.min("odds").alias("least"), F.sum("odds").alias("total"), F.min("seen").alias("seen"), F.min("usual").alias("usual"))
-    ready = cut(pairs.join(each, ["word", "other"]).select("word", "other", "n", "known", "n_other", F.size("edits").alias("k"), "least", "total", "seen", "usual", (F.length("word") - F.length("other")).alias("length_gap")))
+    each = pairs.select("word", "other", F.explode("edits").alias("edit")).join(odds, "edit").groupBy("word", "other").agg(F.min("odds").alias("least"), F.sum("odds").alias("total"), F.min("seen").alias("seen"), F.min("usual").alias("usual"), F.max("shown").alias("shown"))
+    ready = cut(pairs.join(each, ["word", "other"]).select("word", "other", "n", "known", "n_other", F.size("edits").alias("k"), "least", "total", "seen", "usual", "shown", (F.length("word") - F.length("other")).alias("length_gap")))
     first = ready.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy("k", F.desc("total"), F.desc("n_other"), "other"))).where("r = 1").drop("r")
     sample = first.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_PAIRS).toPandas()
     y = (~sample["known"].astype(bool)).to_numpy(float)
@@ -301,15 +308,19 @@ def corrections(counts: DataFrame) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p = model.predict(pair_features(b)) if len(b) else np.zeros(0)
-            yield b.assign(p=p)[["word", "other", "n_other", "k", "total", "p"]]
+            yield b.assign(p=p)[["word", "other", "n_other", "k", "total", "p", "usual"]]
 
-    ranked = ready.where(~F.col("known") & (F.col("least") > LEAST_ODDS) & (F.col("usual") >= LEAST_SEEN)).mapInPandas(score, "word string, other string, n_other bigint, k int, total double, p double").where(F.col("p") >= MISREAD)
+    # A rare edit is dropped if unwrapped files show it too; else the trees decide, and must be sure.
+    rare = F.col("usual") < LEAST_SEEN
+    asked = ready.where(~F.col("known") & (F.col("least") > LEAST_ODDS) & (~rare | (F.col("shown") == 0)))
+    ranked = asked.mapInPandas(score, "word string, other string, n_other bigint, k int, total double, p double, usual double").where(F.col("p") >= F.when(rare, MISREAD_RARE).otherwise(MISREAD))
     best = ranked.groupBy("word").agg(F.max(F.struct(-F.col("k"), F.round("total", 1), "p", "n_other", "other")).alias("b"))
     return best.select("word", F.col("b.other").alias("replacement"))
 
 
-#: Least score of a replacement, and least log odds and relative frequency of each of its edits.
-MISREAD, LEAST_ODDS = 0.6, 0.9
+#: Least score of a replacement, also if one of its edits is rare; least log odds of each edit; an edit is rare under so
+#: many times the most usual one.
+MISREAD, MISREAD_RARE, LEAST_ODDS = 0.6, 0.99, 0.9
 LEAST_SEEN = 0.03
 
 

@@ -87,6 +87,20 @@ def test_one_clean_occurrence_does_not_trust_a_misreading(spark):
     assert len(wrong & {(p, n) for p, n, d in got if d == "chars"}) > 0.9 * len(wrong)
 
 
+def test_rare_edits_reach_the_ranker(spark):
+    rng = np.random.default_rng(5)
+    made = sorted({"".join(rng.choice(list("bdfgkmprst"), 6)) for _ in range(700)})
+    right = [f"{a[:3]}e{a[3:]}a" for a in made[:600]]
+    usual = [(w, w.replace("e", "c")) for w in right[:300]]
+    rare = [("returned", "retumed"), ("attorney", "attomey"), ("internal", "intemal"), ("modern", "modem"), ("western", "westem")]
+    rows = [(w, 300, 200, 300, True) for w in right + [a for a, _ in rare]]
+    rows += [(w[:-1] + "o", 3, 2, 3, True) for w in right[300:]] + [(b, 1, 0, 1, False) for _, b in usual + rare]
+    rows.append(("piece", 1, 0, 0, False))
+    got = {r["word"]: r["replacement"] for r in scans.corrections(spark.createDataFrame(rows, "word string, n bigint, plain bigint, whole bigint, known boolean")).collect()}
+    assert {b: a for a, b in rare}.items() <= got.items() and len(got) > 0.95 * len(usual + rare)
+    assert not set(got) & {w[:-1] + "o" for w in right}
+
+
 def test_edits():
     assert scans.edits("modern", "rnodern") == ["m>rn"] and scans.edits("under", "uncler") == ["d>cl"] and scans.edits("point", "po.int") == [">."] and scans.edits("a", "a") == []
 
