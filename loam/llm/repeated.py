@@ -76,10 +76,17 @@ def repeated_blocks(all_runs: DataFrame, least: int = LEAST) -> DataFrame:
     held = all_runs.withColumn("run_id", F.xxhash64("run"))
     once = held.groupBy("site", "run_id").agg(F.first("run").alias("run"))
     arr = suffix_array(once)
-    # A suffix holds the blocks whose lengths occur as common prefixes at it; equal runs, kept once, share all of it;
+    # A suffix names the blocks whose lengths occur as common prefixes at it; equal runs, kept once, share all of it;
     # one line alone is a block as well.
     lengths = F.array_distinct(F.array(F.lit(1), F.col("lcp"), F.col("next_lcp"), F.size("suffix")))
     named = arr.select("site", "run_id", F.explode(F.filter(F.transform(lengths, lambda n: F.slice("suffix", F.lit(1), n)), lambda b: F.size(b) > 0)).alias("block")).distinct()
+    # A block's documents are those of all suffixes that begin with it, also where they share more with a neighbour.
+    first = F.col("block")[0].alias("first")
+    sizes = named.groupBy("site", first).agg(F.collect_set(F.size("block")).alias("sizes"))
+    each = arr.select("site", "run_id", F.col("suffix")[0].alias("first"), "suffix").join(sizes, ["site", "first"])
+    fitting = F.filter("sizes", lambda n: n <= F.size("suffix"))
+    holding = each.select("site", "run_id", F.explode(F.transform(fitting, lambda n: F.slice("suffix", F.lit(1), n))).alias("block")).distinct()
+    named = holding.join(named.select("site", "block").distinct(), ["site", "block"], "left_semi")
     where = held.select("site", "run_id", "doc").distinct()
     return named.join(where, ["site", "run_id"]).groupBy("site", "block").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= least)
 

@@ -63,6 +63,12 @@ def test_blocks(spark):
     assert (3, 8) in got and (2, 11) in got and max(n for n, _ in got) == 3
 
 
+def test_blocks_count_longer_neighbours(spark):
+    made = [("s", [1, 2, 3, 10 + i], i) for i in range(6)] + [("s", [1, 2, 4], 9), ("t", [1, 2], 9)]
+    got = {(r["site"], tuple(r["block"])): r["docs"] for r in repeated.repeated_blocks(spark.createDataFrame(made, "site string, run array<bigint>, doc bigint")).collect()}
+    assert got[("s", (1, 2))] == 7 and got[("s", (1, 2, 3))] == 6 and got[("s", (1,))] == 7 and not [k for k in got if k[0] == "t"]
+
+
 def test_empty(spark):
     none = rows(spark, [])
     assert repeated.repeated_lines(none).collect() == [] and frame.frames(none).collect() == [] and residue.residue_pages(none).collect() == []
