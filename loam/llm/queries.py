@@ -32,10 +32,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeated blocks by their length."""
-    seqs = repeated.sequences(table(spark, folder, "pages"))
-    blocks = repeated.repeated_blocks(repeated.runs(repeated.marked_lines(seqs)))
-    return blocks.groupBy(F.size("block").alias("lines")).agg(F.count("*").alias("blocks"), F.max("docs").alias("most_docs"))
+    """Repeated blocks of 1, 2, 4, ... lines."""
+    return repeated.block_counts(table(spark, folder, "pages"))
 
 
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,6 +128,12 @@ WITH l AS (
 n AS (SELECT *, regexp_replace(lower(trim(regexp_replace(t, '{WS}+', ' ', 'g'))), '[0-9]+', '0', 'g') AS x FROM l),
 f AS (SELECT site, x FROM n WHERE x <> '' GROUP BY site, x HAVING count(DISTINCT k) >= 6)"""
 ORACLES = {
+    "p5_blocks": f"""{_P5.replace("f AS", "g AS")},
+w AS (SELECT page_id, site, k, list(x ORDER BY line_no) AS xs FROM n WHERE x <> '' GROUP BY 1, 2, 3),
+s AS (SELECT site, k, xs, unnest(range(1, len(xs) + 1)) AS i FROM w),
+v AS (SELECT site, k, l, xs[i : i + (1 << l) - 1] AS b FROM s, (SELECT unnest(range(0, 20)) AS l) WHERE i + (1 << l) - 1 <= len(xs)),
+c AS (SELECT site, l, b, count(DISTINCT k) AS docs FROM v GROUP BY 1, 2, 3 HAVING count(DISTINCT k) >= 6)
+SELECT CAST(1 << l AS BIGINT) AS lines, count(*) AS blocks, max(docs) AS most_docs FROM c GROUP BY 1""",
     "p5_found": f"{_P5} SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN f USING (site, x)",
     "p5_clean": f"""{_P5},
 d AS (SELECT page_id, string_agg(t, chr(10) ORDER BY line_no) FILTER (WHERE f.x IS NULL) AS c FROM n LEFT JOIN f USING (site, x) GROUP BY page_id)

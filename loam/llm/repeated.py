@@ -1,12 +1,18 @@
 """Lines repeated across one site's documents, by suffix arrays over line identifiers.
 
-A document is its sequence of line identifiers. Suffixes that start with a line of fewer than least documents of the
-site cannot start a repeated block, so the sequences are cut there into runs of frequent lines; equal runs of a site
-are kept once, with the documents they occur in. All suffixes of the distinct runs are sorted within their site
-(in buckets by the first identifier, as suffixes of different buckets share no prefix), and the lengths of the common
-prefixes of neighbours come from one pass over that order. Every prefix length that occurs in the order names a
-repeated block; a block's documents are the distinct documents of the runs whose suffixes hold it. Blocks in at least
-least documents are deleted wherever they occur: their lines are the repeated lines.
+A document is its sequence of line identifiers; equal sequences of a document are kept once. A suffix is named by
+prefix doubling: its name at level k stands for its first 2^k lines and is made of two names of level k - 1, inside the
+row of its document. One global sort by (site, names) puts the suffixes of every site in an order in which all suffixes
+that share their first 2^k lines are neighbours, at every level; ties are ordered by document, so that a line on a third
+of all pages is spread over the sorted partitions like any other.
+
+The intervals of common prefixes are read from that order in one pass over each sorted partition (a segment): equal names
+of neighbours make an interval of depth 2^k, and an interval whose suffixes come from at least least documents is a
+repeated block. Intervals at the ends of a segment may go on in the next one; each segment reports at most least distinct
+documents of these, which is enough to decide them together.
+
+A line is deleted where a repeated block covers it. If a block of several lines is repeated, so is each of its ends as
+a block of its own, in the same documents; hence the covered lines are those at which a repeated block starts.
 
 Documents are url keys, over all snapshots and rows. Lines are compared after squeezing white space, trimming,
 lower-casing and taking every run of digits as the same.
@@ -17,90 +23,133 @@ left alone; a url without host counts to the site ''; equal copies of a row coun
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loam.llm.pages import ids, line_arrays
 from loam.storage import cut, sized
 
 LEAST = 6
-#: Longest common prefix that is followed; longer blocks are found as overlapping ones of this length.
-DEEPEST = 64
+_SUFFIX = "seg int, seq_id bigint, place int, own bigint, head bigint, tail bigint, site bigint, level int, name bigint, docs array<bigint>"
 
 
 def sequences(pages: DataFrame) -> DataFrame:
-    """(page_id, site, doc, seq): identifiers of the lines that are not blank, each with its line number."""
+    """(page_id, site, doc, seq_id, seq, nos): identifiers of the lines that are not blank, and their line numbers."""
     held = line_arrays(pages.where("url is not null and content is not null"))
-    seq = F.filter(F.transform(ids(F.col("lines")), lambda x, i: F.struct(x.alias("id"), (i + 1).alias("no"))), lambda s: s["id"] != 0)
-    return held.select("page_id", F.xxhash64("site").alias("site"), F.xxhash64("url_key").alias("doc"), seq.alias("seq")).where(F.size("seq") > 0)
-
-
-def frequent_lines(seqs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(site, id): first identifiers whose bucket of suffixes spans at least least documents."""
-    each = seqs.select("site", "doc", F.explode(F.array_distinct(F.transform("seq", lambda s: s["id"]))).alias("id")).distinct()
-    return each.groupBy("site", "id").agg(F.count("*").alias("docs")).where(F.col("docs") >= least).select("site", "id")
-
-
-def marked_lines(seqs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, site, doc, no, place, id): lines that may start a block; place counts lines that are not blank."""
-    each = seqs.select("page_id", "site", "doc", F.posexplode("seq").alias("place", "s")).select("page_id", "site", "doc", "place", "s.id", "s.no")
-    return each.join(sized(frequent_lines(seqs, least)), ["site", "id"], "left_semi")
-
-
-def runs(marked: DataFrame) -> DataFrame:
-    """(page_id, site, doc, run, nos): maximal sequences of neighbouring marked lines, in order."""
-    order = W.partitionBy("page_id").orderBy("place")
-    parts = marked.withColumn("part", F.col("place") - F.row_number().over(order))
-    both = F.array_sort(F.collect_list(F.struct("place", "id", "no")))
-    return parts.groupBy("page_id", "site", "doc", "part").agg(both.alias("b")).select("page_id", "site", "doc", F.transform("b", lambda x: x["id"]).alias("run"), F.transform("b", lambda x: x["no"]).alias("nos"))
-
-
-def suffix_array(distinct_runs: DataFrame) -> DataFrame:
-    """(site, run_id, start, suffix, lcp, next_lcp): suffixes of distinct runs in their order within (site, first id)."""
-    starts = F.sequence(F.lit(1), F.size("run"))
-    each = distinct_runs.select("site", "run_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(F.col("run"), i, F.lit(DEEPEST)).alias("suffix")))).alias("x")).select("site", "run_id", "x.start", "x.suffix")
-    order = W.partitionBy("site", F.col("suffix")[0]).orderBy("suffix", "run_id", "start")
-
-    def common(a, b):
-        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        at = F.array_position(same, F.lit(False))
-        return F.when(b.isNull(), F.lit(0)).when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
-
-    before, after = F.lag("suffix").over(order), F.lead("suffix").over(order)
-    return each.withColumn("lcp", common(F.col("suffix"), before)).withColumn("next_lcp", common(F.col("suffix"), after))
-
-
-def repeated_blocks(all_runs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(site, block, docs): repeated blocks of neighbouring lines that span at least least documents."""
-    held = all_runs.withColumn("run_id", F.xxhash64("run"))
-    once = held.groupBy("site", "run_id").agg(F.first("run").alias("run"))
-    arr = suffix_array(once)
-    # A suffix names the blocks whose lengths occur as common prefixes at it; equal runs, kept once, share all of it;
-    # one line alone is a block as well.
-    lengths = F.array_distinct(F.array(F.lit(1), F.col("lcp"), F.col("next_lcp"), F.size("suffix")))
-    named = arr.select("site", "run_id", F.explode(F.filter(F.transform(lengths, lambda n: F.slice("suffix", F.lit(1), n)), lambda b: F.size(b) > 0)).alias("block")).distinct()
-    # A block's documents are those of all suffixes that begin with it, also where they share more with a neighbour.
-    first = F.col("block")[0].alias("first")
-    sizes = named.groupBy("site", first).agg(F.collect_set(F.size("block")).alias("sizes"))
-    each = arr.select("site", "run_id", F.col("suffix")[0].alias("first"), "suffix").join(sizes, ["site", "first"])
-    fitting = F.filter("sizes", lambda n: n <= F.size("suffix"))
-    holding = each.select("site", "run_id", F.explode(F.transform(fitting, lambda n: F.slice("suffix", F.lit(1), n))).alias("block")).distinct()
-    named = holding.join(named.select("site", "block").distinct(), ["site", "block"], "left_semi")
-    where = held.select("site", "run_id", "doc").distinct()
-    return named.join(where, ["site", "run_id"]).groupBy("site", "block").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= least)
+    full = F.filter(F.transform(ids(F.col("lines")), lambda x, i: F.struct(x.alias("id"), (i + 1).alias("no"))), lambda s: s["id"] != 0)
+    named = held.select("page_id", F.xxhash64("site").alias("site"), F.xxhash64("url_key").alias("doc"), full.alias("full")).where(F.size("full") > 0)
+    seq = F.transform("full", lambda s: s["id"])
+    return named.select("page_id", "site", "doc", F.xxhash64("site", "doc", seq).alias("seq_id"), seq.alias("seq"), F.transform("full", lambda s: s["no"]).alias("nos"))
+
+
+def distinct_sequences(seqs: DataFrame) -> DataFrame:
+    """(seq_id, site, doc, seq), each once."""
+    return seqs.groupBy("seq_id").agg(*[F.first(c).alias(c) for c in ("site", "doc", "seq")])
+
+
+def levels_of(seqs: DataFrame) -> int:
+    """Levels of names: as many as the longest sequence needs."""
+    return max(1, (seqs.agg(F.max(F.size("seq"))).first()[0] or 1).bit_length())
+
+
+def suffixes(once: DataFrame, levels: int) -> DataFrame:
+    """(site, names, doc, seq_id, place): one row for each suffix; names[k] stands for its first 2^k lines."""
+    held = once.withColumn("__0", F.col("seq"))
+    for k in range(1, levels):
+        last, step = F.col(f"__{k - 1}"), 1 << (k - 1)
+        # Two names of the level before, step lines apart, make one.
+        pairs = F.zip_with(F.slice(last, 1, F.greatest(F.size(last) - step, F.lit(0))), F.slice(last, step + 1, F.size(last)), lambda a, b: F.xxhash64(a, b))
+        held = held.withColumn(f"__{k}", F.when(F.size(last) > step, pairs).otherwise(F.array().cast("array<bigint>")))
+    names = lambda i: F.filter(F.array(*[F.get(F.col(f"__{k}"), i) for k in range(levels)]), lambda x: x.isNotNull())
+    each = F.transform(F.sequence(F.lit(0), F.size("seq") - 1), lambda i: F.struct(names(i).alias("names"), i.alias("place")))
+    return held.select("site", "doc", "seq_id", F.explode(each).alias("x")).select("site", "x.names", "doc", "seq_id", "x.place")
+
+
+def suffix_order(once: DataFrame, levels: int) -> DataFrame:
+    """The suffixes in their order; hot lines are split, as ties are ordered by sequence and place."""
+    return suffixes(once, levels).orderBy("site", "names", "seq_id", "place")
+
+
+def intervals(order: DataFrame, least: int = LEAST) -> DataFrame:
+    """Suffix rows with the levels (bits) whose interval is repeated (own) or lies at the segment's start or end (head,
+    tail), and one row for each such open interval with at most least of its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if not sum(b.num_rows for b in rows):
+            return
+        held, seg = pa.Table.from_batches(rows), TaskContext.get().partitionId()
+        whole = lambda c: pa.concat_arrays(held.column(c).chunks)
+        site, doc = whole("site").to_numpy(), whole("doc").to_numpy()
+        names = whole("names")
+        offsets, values = names.offsets.to_numpy(), names.values.to_numpy()
+        size, n = np.diff(offsets), held.num_rows
+        code = np.unique(doc, return_inverse=True)[1].astype(np.int64)
+        many = int(code.max()) + 1
+        own, head, tail = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        ends: list[tuple[int, int, int, int, list[int]]] = []
+        for k in range(int(size.max())):
+            at = np.flatnonzero(size > k)
+            name = values[offsets[at] + k]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (name[1:] != name[:-1]) | (site[at[1:]] != site[at[:-1]]) | (at[1:] != at[:-1] + 1)
+            group = np.cumsum(new) - 1
+            count = np.bincount(np.unique(group * many + code[at]) // many, minlength=group[-1] + 1)
+            bit = np.int64(1) << np.int64(k)
+            own[at[count[group] >= least]] |= bit
+            for side, mask, i, g, edge in ((0, head, 0, 0, 0), (1, tail, -1, group[-1], n - 1)):
+                if at[i] == edge:
+                    inside = at[group == g]
+                    mask[inside] |= bit
+                    ends.append((side, int(site[edge]), k, int(name[i]), np.unique(doc[inside])[:least].tolist()))
+        i32, i64, docs = pa.int32(), pa.int64(), pa.list_(pa.int64())
+        schema = pa.schema([("seg", i32), ("seq_id", i64), ("place", i32), ("own", i64), ("head", i64), ("tail", i64), ("site", i64), ("level", i32), ("name", i64), ("docs", docs)])
+        none = lambda *kinds: [pa.nulls(m, kind) for kind in kinds]
+        m = n
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, seg), i32), whole("seq_id"), whole("place"), *map(pa.array, (own, head, tail)), *none(i64, i32, i64, docs)], schema=schema)
+        m = len(ends)
+        side, *rest = (pa.array([e[j] for e in ends], t) for j, t in enumerate((i32, i64, i32, i64, docs)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, seg), i32), *none(i64), side, *none(i64, i64, i64), *rest], schema=schema)
+
+    return order.mapInArrow(run, _SUFFIX)
+
+
+def block_starts(once: DataFrame, levels: int, least: int = LEAST) -> DataFrame:
+    """(seq_id, place, depth): suffixes that begin with a repeated block; bit k of depth: one of 2^k lines."""
+    held = cut(intervals(suffix_order(once, levels), least))
+    ends = held.where("seq_id is null").select("seg", F.col("place").alias("side"), "site", "level", "name", "docs")
+    # The intervals that segments leave open, decided over all segments.
+    key = ["site", "level", "name"]
+    kept = ends.select(*key, F.explode("docs").alias("doc")).distinct().groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    bits = lambda side: F.coalesce(F.bit_or(F.when(F.col("side") == side, F.expr("shiftleft(1L, level)"))), F.lit(0).cast("bigint"))
+    open_ = sized(ends.join(kept, key).groupBy("seg").agg(bits(0).alias("head_kept"), bits(1).alias("tail_kept")))
+    both = held.where("seq_id is not null").join(open_, "seg", "left").fillna(0, ["head_kept", "tail_kept"])
+    part = lambda side: F.col(side).bitwiseAND(F.col(f"{side}_kept"))
+    return both.select("seq_id", "place", F.col("own").bitwiseOR(part("head")).bitwiseOR(part("tail")).alias("depth")).where("depth <> 0")
+
+
+def block_counts(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lines, blocks, most_docs): the distinct repeated blocks of 1, 2, 4, ... lines, and the most documents of one."""
+    once = cut(distinct_sequences(sequences(pages)))
+    levels = levels_of(once)
+    named = suffixes(once, levels).join(block_starts(once, levels, least), ["seq_id", "place"])
+    each = named.select("site", "doc", "depth", F.posexplode("names").alias("level", "name")).where(F.expr("(shiftright(depth, level) & 1) = 1"))
+    docs = each.select("site", "level", "name", "doc").distinct().groupBy("site", "level", "name").agg(F.count("*").alias("docs"))
+    return docs.groupBy(F.expr("shiftleft(1L, level)").alias("lines")).agg(F.count("*").alias("blocks"), F.max("docs").alias("most_docs"))
 
 
 def repeated_lines(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, line_no): the lines of every page that a repeated block covers."""
-    seqs = sequences(pages)
-    held = cut(runs(marked_lines(seqs, least)))
-    blocks = repeated_blocks(held, least)
-    # Where a block lies, its first line lies in a block too (of one line at least): lines are covered by the blocks
-    # that start at them.
-    starts = sized(blocks.select("site", F.col("block")[0].alias("id")).distinct())
-    each = held.select("page_id", "site", F.explode(F.arrays_zip("run", "nos")).alias("x")).select("page_id", "site", F.col("x.run").alias("id"), F.col("x.nos").alias("no"))
-    return each.join(starts, ["site", "id"], "left_semi").select("page_id", F.col("no").cast("int").alias("line_no"))
+    seqs = cut(sequences(pages))
+    once = distinct_sequences(seqs)
+    starts = block_starts(once, levels_of(seqs), least).groupBy("seq_id").agg(F.collect_list("place").alias("places"))
+    both = seqs.select("page_id", "seq_id", "nos").join(starts, "seq_id")
+    return both.select("page_id", F.explode(F.transform("places", lambda i: F.get("nos", i))).alias("line_no"))
 
 
 def remove_lines(pages: DataFrame, found: DataFrame) -> DataFrame:

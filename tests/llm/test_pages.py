@@ -56,25 +56,61 @@ def test_repeated_brute(spark):
     assert kept[901] is None and kept[900] == "Menu one" and len(kept) == len(items)
 
 
-def test_blocks(spark):
-    items = [page(i, f"https://a.example/{i}", "t", f"own {chr(97 + i)}\nfoot a\nfoot b\nfoot c\nend {chr(97 + i)}") for i in range(8)] + [page(20 + i, f"https://a.example/z{i}", "t", f"foot a\nfoot b\n{chr(97 + i)}") for i in range(3)]
-    blocks = repeated.repeated_blocks(repeated.runs(repeated.marked_lines(repeated.sequences(rows(spark, items)))))
-    got = {(len(r["block"]), r["docs"]) for r in blocks.collect()}
-    assert (3, 8) in got and (2, 11) in got and max(n for n, _ in got) == 3
-
-
-def test_blocks_count_longer_neighbours(spark):
-    made = [("s", [1, 2, 3, 10 + i], i) for i in range(6)] + [("s", [1, 2, 4], 9), ("t", [1, 2], 9)]
-    got = {(r["site"], tuple(r["block"])): r["docs"] for r in repeated.repeated_blocks(spark.createDataFrame(made, "site string, run array<bigint>, doc bigint")).collect()}
-    assert got[("s", (1, 2))] == 7 and got[("s", (1, 2, 3))] == 6 and got[("s", (1,))] == 7 and not [k for k in got if k[0] == "t"]
+def brute_blocks(seqs, least):
+    """{lines: (blocks, most documents)} of sequences (site, doc, ids), lines a power of two."""
+    docs = defaultdict(set)
+    for site, doc, seq in seqs:
+        n = 1
+        while n <= len(seq):
+            for i in range(len(seq) - n + 1):
+                docs[site, tuple(seq[i : i + n])].add(doc)
+            n *= 2
+    out = defaultdict(list)
+    for (_, block), d in docs.items():
+        if len(d) >= least:
+            out[len(block)].append(len(d))
+    return {n: (len(x), max(x)) for n, x in out.items()}
+
+
+def test_blocks_many_segments(spark):
+    """Intervals that go over many sorted partitions, a hot line, long blocks, repeated documents."""
+    rng = random.Random(3)
+    long = list(range(1000, 1150))
+    made = []
+    for i in range(160):
+        seq = [1] + [rng.choice([2, 3, 4, 100 + i]) for _ in range(rng.randint(0, 9))]
+        made.append((rng.choice([7, 7, 8]), i % 120, seq + (long if i % 5 == 0 else [])))
+    once = spark.createDataFrame([(i, s, d, q) for i, (s, d, q) in enumerate(made)], "seq_id bigint, site bigint, doc bigint, seq array<bigint>")
+    levels = repeated.levels_of(once)
+    assert levels == 8
+    want = {(i, p) for i, (s, _, q) in enumerate(made) for p, x in enumerate(q) if len({d for s2, d, q2 in made if s2 == s and x in q2}) >= 6}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            starts = repeated.block_starts(once, levels).collect()
+            assert {(r["seq_id"], r["place"]) for r in starts} == want
+            # Blocks of 128 lines are followed like any other.
+            assert max(r["depth"] for r in starts) >= 1 << 7
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_block_counts_brute(spark):
+    items = [page(i, f"https://a.example/{i}", "t", f"own {chr(97 + i)}\nfoot a\n\nfoot b\nfoot c\nend {chr(97 + i)}") for i in range(8)] + [page(20 + i, f"https://a.example/z{i}", "t", f"foot a\nfoot b\n{chr(97 + i)}") for i in range(3)]
+    got = {r["lines"]: (r["blocks"], r["most_docs"]) for r in repeated.block_counts(rows(spark, items)).collect()}
+    seqs = [("a", u, [norm(x) for x in c.split("\n") if norm(x)]) for _, u, _, c, *_ in items]
+    assert got == brute_blocks(seqs, 6) and got[2] == (2, 11)
 
 
 def test_empty(spark):
     none = rows(spark, [])
-    assert repeated.repeated_lines(none).collect() == [] and frame.frames(none).collect() == [] and residue.residue_pages(none).collect() == []
+    assert repeated.repeated_lines(none).collect() == [] and repeated.block_counts(none).collect() == [] and frame.frames(none).collect() == [] and residue.residue_pages(none).collect() == []
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p5_found", "p5_clean", "p8_round_trip"])
+@pytest.mark.parametrize("name", ["p3_found", "p5_found", "p5_blocks", "p5_clean", "p8_round_trip"])
 def test_same_as_sql(spark, tiny, name):
     assert_same(queries.QUERIES[name](spark, tiny), tiny, queries.ORACLES[name])
 
