@@ -1,11 +1,19 @@
 """Main content of pages, by a style tree of each site.
 
-The pages of a host are merged into one tree. Its content nodes are the texts of lines and list items (compared with
-digits and letter case masked); its style nodes are lines cut by separators (by their first part: trails), lists, and
-headings with the list below them. A node's importance is the information it carries among the pages of its host, in
-bits: -log2(pages with the node / pages of the host). A second tree merges all hosts that have a node, for hosts with
-few pages. Nodes of at most LEAST_BITS are frame; so are lists of which half are frame or titles of other pages (side
-boxes), with their heading. The page's own title, headings and table rows are never frame.
+A page is a tree: its lines and lists hang below the page; a line cut by separators (a trail) is a branch with its parts
+below it, a list a branch with its items. The pages of a host are merged into one tree. Content nodes are the texts of
+lines and items (compared with digits and letter case masked). Elements are branches that begin alike: trails with the
+same first part, lists with the same first item. Presentations of an element are the forms it takes: the number of parts
+of a trail, the items of a list.
+
+Importance is counted in bits. A content node on k of the m pages of a host has log2 m less the entropy of the node over
+pages, which is log2 k as a page counts once: -log2(k / m). An element with l presentations has the entropy H of its
+presentations, and a branch the composite (1 - GAMMA^l) * H + GAMMA^l * (importance of its content), where the content of a
+trail is its first part and that of a list the median of its items; an item that is on several pages of the host, or that
+is the title of another page, has no content of its own, any other has all. Branches and content nodes of at most
+LEAST_BITS are pruned, a list together with the lines of its items, and the heading above a pruned list of other pages'
+titles (a side box). A second tree merges all hosts that have a node, for nodes on few pages of a host. The page's own
+title, headings and table rows are never pruned.
 
 Pages are url keys. Defined cases: null content has no lines, null lists no items; rows without url are compared as
 pages of the site '' of their own; blank lines are neither frame nor body; a node in fewer than LEAST_PAGES pages of a
@@ -24,6 +32,8 @@ from loam.storage import cut, sized
 #: Information (bits) up to which a node is frame: it is on a tenth of the pages or more.
 LEAST_BITS = 3.33
 LEAST_PAGES, LEAST_PAGES_ALL = 3, 6
+#: Weight of content against presentation, by presentation.
+GAMMA = 0.9
 # Separators between the parts of trails and menus.
 SEPARATORS = r" (?:>|»|/|\||·|›|→) "
 
@@ -37,46 +47,65 @@ def _ids(texts: Column) -> Column:
 
 
 def views(pages: DataFrame) -> DataFrame:
-    """One row for each page: identifiers of its nodes. trails holds 0 for lines without separators."""
+    """One row for each page: identifiers of its nodes. trails holds node 0 for lines without separators."""
     where = F.coalesce(site(F.col("url")), F.lit(""))
     lines = norm_lines(F.coalesce("content", F.lit("")))
     rows = F.flatten(F.transform(F.coalesce("tables", F.array().cast("array<array<array<string>>>")), lambda t: F.transform(F.coalesce(t, F.array().cast("array<array<string>>")), lambda r: F.array_join(r, " "))))
     held = pages.select("page_id", F.xxhash64(where).alias("site"), F.xxhash64(F.coalesce(url_key(F.col("url")), F.concat(F.lit("#"), F.col("page_id").cast("string")))).alias("doc"), "title", "headings", "lists", rows.alias("rows"), lines.alias("text"))
-    return held.select(
+    trail = lambda parts: F.struct(F.xxhash64(F.lit("trail"), parts[0]).alias("node"), F.size(parts).cast("bigint").alias("style"))
+    no_trail = F.struct(F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("style"))
+    held = held.select(
         "page_id",
         "site",
         "doc",
         F.coalesce(_id(norm(F.col("title"))), F.lit(0)).alias("title"),
         F.transform("text", _id).alias("lines"),
-        F.transform("text", lambda x: F.when(x.rlike(SEPARATORS), F.xxhash64(F.lit("trail"), F.split(x, SEPARATORS, 2)[0])).otherwise(F.lit(0).cast("bigint"))).alias("trails"),
+        F.transform("text", lambda x: F.when(x.rlike(SEPARATORS), trail(F.split(x, SEPARATORS, -1))).otherwise(no_trail)).alias("trails"),
         F.transform(F.coalesce("lists", F.array().cast("array<array<string>>")), _ids).alias("lists"),
         F.transform(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string,id:string>>")), lambda h: F.coalesce(_id(norm(h["text"])), F.lit(0).cast("bigint"))).alias("heads"),
         _ids(F.col("rows")).alias("rows"),
     )
+    element = lambda xs: F.struct(F.when(F.size(xs) > 0, F.xxhash64(F.lit("list"), xs[0])).otherwise(F.lit(0).cast("bigint")).alias("node"), F.xxhash64(xs).alias("style"))
+    return held.withColumn("boxes", F.transform("lists", element))
+
+
+def _nodes() -> Column:
+    """The nodes of a view, each with its presentation: content nodes have one only."""
+    plain = F.transform(F.concat("lines", F.flatten("lists")), lambda x: F.struct(x.alias("node"), F.lit(0).cast("bigint").alias("style")))
+    return F.filter(F.array_distinct(F.concat(plain, "trails", "boxes")), lambda x: x["node"] != 0)
 
 
 def tree(held: DataFrame) -> DataFrame:
-    """(site, node, frame, title, often): content nodes with a verdict; others are on one page only and body."""
-    nodes = F.array_distinct(F.concat("lines", "trails", F.flatten("lists")))
-    each = held.select("site", "doc", F.explode(nodes).alias("node")).where("node <> 0").distinct()
-    own = each.groupBy("site", "node").agg(F.count("*").alias("k"))
+    """(site, node, frame, title, often, rich): nodes with a verdict; others are on one page only and body. rich marks
+    lists whose presentations alone make them important."""
+    each = held.select("site", "doc", F.explode(_nodes()).alias("x")).select("site", "doc", "x.node", "x.style").distinct()
+    styles = each.groupBy("site", "node", "style").agg(F.count("*").alias("n"))
+    own = styles.groupBy("site", "node").agg(F.sum("n").alias("k"), F.count("*").alias("l"), F.max("style").alias("style"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("spread"))
     titled = held.where("title <> 0").select("site", F.col("title").alias("node")).distinct().withColumn("titled", F.lit(True))
     hosts = held.select("site", "doc").distinct().groupBy("site").agg(F.count("*").alias("m"))
     sized = own.join(hosts, "site")
     every = sized.groupBy("node").agg(F.sum("k").alias("ka"), F.sum("m").alias("ma"), F.max("k").alias("most")).where("most > 1 or ka > 1").drop("most")
     bits = lambda k, m: -F.log2(F.col(k) / F.col(m))
-    judged = sized.join(every, "node").withColumn("frame", F.when(F.col("k") >= LEAST_PAGES, bits("k", "m") <= LEAST_BITS).otherwise((F.col("ka") >= LEAST_PAGES_ALL) & (bits("ka", "ma") <= LEAST_BITS)))
-    out = judged.select("site", "node", "frame", (F.col("k") > 1).alias("often")).where("frame or often")
-    return out.join(titled, ["site", "node"], "full").select("site", "node", F.coalesce("frame", F.lit(False)).alias("frame"), F.coalesce("titled", F.lit(False)).alias("title"), F.coalesce("often", F.lit(False)).alias("often"))
+    held_back = F.pow(F.lit(GAMMA), F.col("l"))
+    is_branch = F.col("style") != 0
+    shape = F.when(is_branch, (1 - held_back) * F.col("spread")).otherwise(0.0)
+    low = lambda k, m: shape + F.when(is_branch, held_back).otherwise(1.0) * bits(k, m) <= LEAST_BITS
+    judged = sized.join(every, "node").withColumn("frame", F.when(F.col("k") >= LEAST_PAGES, low("k", "m")).otherwise((F.col("ka") >= LEAST_PAGES_ALL) & low("ka", "ma"))).withColumn("rich", shape > LEAST_BITS)
+    out = judged.select("site", "node", "frame", (F.col("k") > 1).alias("often"), "rich").where("frame or often")
+    flags = [F.coalesce(c, F.lit(False)).alias(c if c != "titled" else "title") for c in ("frame", "titled", "often", "rich")]
+    return out.join(titled, ["site", "node"], "full").select("site", "node", *flags)
+
+
+_FLAGS = ("frame", "title", "often", "rich")
 
 
 def judged_views(held: DataFrame) -> DataFrame:
-    """Views with the sets of their nodes that are frame, titles of the site, and often on the site."""
-    nodes = F.array_distinct(F.concat("lines", "trails", F.flatten("lists")))
-    each = held.select("page_id", "site", F.explode(nodes).alias("node")).where("node <> 0")
-    hits = each.join(sized(tree(held)), ["site", "node"]).groupBy("page_id").agg(*[F.collect_list(F.when(F.col(c), F.col("node"))).alias(f"__{c}") for c in ("frame", "title", "often")])
+    """Views with the sets of their nodes that have each flag."""
+    nodes = F.array_distinct(F.transform(_nodes(), lambda x: x["node"]))
+    each = held.select("page_id", "site", F.explode(nodes).alias("node"))
+    hits = each.join(sized(tree(held)), ["site", "node"]).groupBy("page_id").agg(*[F.collect_list(F.when(F.col(c), F.col("node"))).alias(f"__{c}") for c in _FLAGS])
     none = F.array().cast("array<bigint>")
-    return held.join(hits, "page_id", "left").withColumns({f"__{c}": F.coalesce(f"__{c}", none) for c in ("frame", "title", "often")})
+    return held.join(hits, "page_id", "left").withColumns({f"__{c}": F.coalesce(f"__{c}", none) for c in _FLAGS})
 
 
 def frame_nodes(judged: DataFrame) -> DataFrame:
@@ -84,7 +113,8 @@ def frame_nodes(judged: DataFrame) -> DataFrame:
     has = lambda name, x: F.array_contains(F.col(name), x)
     aside = lambda x: has("__title", x) & (x != F.col("title"))
     count = lambda xs, test: F.size(F.filter(xs, test))
-    verdict = lambda xs: (F.size(xs) > 0) & (2 * count(xs, lambda x: has("__frame", x) | aside(x) | has("__often", x)) >= F.size(xs))
+    # The median item has no content of its own, and the presentations of the list do not make up for it.
+    verdict = lambda xs: (F.size(xs) > 0) & (2 * count(xs, lambda x: has("__frame", x) | aside(x) | has("__often", x)) >= F.size(xs)) & ~has("__rich", F.xxhash64(F.lit("list"), xs[0]))
     side = lambda xs: verdict(xs) & F.exists(xs, aside)
     held = judged.withColumn("__lists", F.transform("lists", verdict))
     held = held.withColumn("__in", F.flatten(F.filter("lists", verdict))).withColumn("__side", F.flatten(F.filter("lists", side)))
@@ -93,7 +123,7 @@ def frame_nodes(judged: DataFrame) -> DataFrame:
     held = held.withColumn("__next", nxt)
 
     def line(x: Column, i: Column) -> Column:
-        trail = F.element_at("trails", i + 1)
+        trail = F.element_at("trails", i + 1)["node"]
         own = (x == F.col("title")) | has("rows", x)
         heading = has("heads", x)
         return F.when((x == 0) | own, False).when(heading, has("__side", F.element_at("__next", i + 1))).otherwise(has("__frame", x) | has("__in", x) | ((trail != 0) & has("__frame", trail)))
