@@ -73,8 +73,8 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
-    sizes = tokenize.encode(docs, "doc_id", "text").select("doc_id", F.size("ids").alias("n_tokens"))
-    return mixing.mix(docs.select("doc_id", "source").join(sizes, "doc_id"), table(spark, folder, "mix_targets"))
+    sizes = tokenize.encode(docs, "doc_id", "text", keep=("source",)).select("doc_id", "source", F.size("ids").alias("n_tokens"))
+    return mixing.mix(sizes, table(spark, folder, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,8 +4,8 @@ Texts are cut into words by the vocabulary's pattern. Only distinct words are en
 word merges, again and again, the adjacent pair whose concatenation has the lowest rank, until no pair has one. Ranks
 come from a literal map (an array of small maps, addressed by a checksum, as a lookup in a Spark map is a scan).
 Texts travel through no shuffle: of the distinct chunks between spaces, with their ids, the most frequent (a fixed
-bound) are broadcast, and a second scan looks chunks up and joins their ids; a chunk that is not among them is merged
-on the spot by a heap, with the same result. Decoding concatenates the pieces' bytes.
+bound) are broadcast, and a second scan looks chunks up and joins their ids. A chunk that is not among them leaves a
+hole, and holes are filled by a join with the table of the other chunks. Decoding concatenates the pieces' bytes.
 
 Bytes are held as ISO-8859-1 strings, one character a byte.
 
@@ -20,7 +20,6 @@ import base64
 import heapq
 import json
 import pickle
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -36,8 +36,8 @@ from loam.storage import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG_WORD = 400
-#: So many chunks at most are broadcast, and so many are kept by a worker.
-HOT_CHUNKS, KEPT = 200_000, 500_000
+#: So many chunks at most are broadcast; the occurrences of all others are joined with theirs.
+HOT_CHUNKS = 200_000
 
 _S = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NOT_S = "[^" + _S[1:]
@@ -134,19 +134,19 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def long_word_ids(path: str):
+def long_word_ids(ranks: Broadcast):
     @F.pandas_udf(ArrayType(IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks = load_ranks(path)
         for s in batches:
-            yield s.map(lambda w: None if w is None else merge_bytes(w.encode("latin-1"), ranks))
+            yield s.map(lambda w: None if w is None else merge_bytes(w.encode("latin-1"), ranks.value))
 
     return encode
 
 
 def word_ids(distinct: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(word, word_ids) of (word): one row for each distinct word."""
-    literal, buckets = literal_map({k.decode("latin-1"): v for k, v in load_ranks(vocabulary).items()}, "int")
+    ranks = load_ranks(vocabulary)
+    literal, buckets = literal_map({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
 
     def code(word: Column, held: Column) -> Column:
         whole = look_up((held, buckets), word)
@@ -155,7 +155,7 @@ def word_ids(distinct: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     held = distinct.withColumn("__b", as_bytes(F.col("word")))
     # A lambda binds the literal, so that the plan holds it once.
     short = held.where(F.length("__b") <= LONG_WORD).select("word", F.transform(F.array(literal), lambda m: code(F.col("__b"), m))[0].alias("word_ids"))
-    long = held.where(F.length("__b") > LONG_WORD).select("word", long_word_ids(vocabulary)(F.col("__b")).alias("word_ids"))
+    long = held.where(F.length("__b") > LONG_WORD).select("word", long_word_ids(distinct.sparkSession.sparkContext.broadcast(ranks))(F.col("__b")).alias("word_ids"))
     return short.unionByName(long)
 
 
@@ -178,65 +178,77 @@ def chunk_ids(docs: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataF
     return parts.join(coded, "word", "left").groupBy("chunk").agg(F.max("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "word_ids"))), lambda x: F.coalesce(x["word_ids"], F.array().cast("array<int>")))).alias("ids"))
 
 
-class _Held(dict):
-    """Ids of chunks as bytes; a chunk that is not held is merged here, with the same result."""
-
-    def __init__(self, path: str, prefix: str) -> None:
-        super().__init__()
-        self.path, self.prefix, self.pattern = path, prefix, None
-
-    def __missing__(self, piece: str) -> bytes:
-        if self.pattern is None:
-            self.pattern = re_words()
-        ranks = load_ranks(self.path)
-        out = np.asarray([i for w in self.pattern.findall(self.prefix + piece) for i in merge_bytes(w.encode(), ranks)], dtype="<i4").tobytes()
-        if len(self) < KEPT:
-            self[piece] = out
-        return out
-
-
-def re_words():
-    import regex
-
-    s = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-    return regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{s[1:-1]}\p{{L}}\p{{N}}]+|{s}+(?![^{s[1:]})|{s}+")
-
-
-def encode(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, hot_chunks: int = HOT_CHUNKS, out: str = "ids") -> DataFrame:
-    """(key, out): the ids of every text. Other columns are not kept."""
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.maxPlanStringLength", "0") or 0) > 1_000_000:
-        spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literal is not worth printing
-    # The most frequent chunks, so that what reaches the driver and the workers has a fixed bound.
-    hot = chunk_ids(docs, text, vocabulary).orderBy(F.desc("n"), "chunk").limit(hot_chunks).select("chunk", "ids").toArrow()
-    held = spark.sparkContext.broadcast(pickle.dumps((hot.column("chunk").to_pylist(), [np.asarray(x, dtype="<i4").tobytes() for x in hot.column("ids").to_pylist()])))
-    knot = re.compile("  [{0}]|[{0}]  ".format("\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"))
+def look_up_chunks(hot: Broadcast, key_fields: list[str]):
+    """A function over Arrow batches (keys, text, pieces) that puts the ids of broadcast chunks in their places: segs are
+    the ids between holes, holes the chunks that are not broadcast."""
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, later = _Held(vocabulary, ""), _Held(vocabulary, " ")
-        for c, x in zip(*pickle.loads(held.value)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, bytes] = {}
+        later: dict[str, bytes] = {}
+        for c, x in zip(*pickle.loads(hot.value)):
             if c[:1] == " ":
                 later[c[1:]] = x
             else:
                 first[c] = x
-        pattern = None
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                if not t:
-                    rows.append(b"")
-                elif knot.search(t):
-                    pattern = pattern or re_words()
-                    rows.append(b"".join([later[w[1:]] if w[0] == " " else first[w] for w in pattern.findall(t)]))
+            segs: list[bytes] = []
+            counts, holes = [0], []
+            for text, pieces in zip(batch.column("__text").to_pylist(), batch.column("__pieces").to_pylist()):
+                if pieces is None and not text:
+                    segs.append(b"")
+                    holes.append([])
                 else:
-                    p = t.split(" ")
-                    rows.append(first[p[0]] + b"".join(map(later.__getitem__, p[1:])))
-            ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype="int64").astype("int32")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, out])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(assemble, f"`{key}` {kind}, `{out}` array<int>")
+                    if pieces is None:
+                        a, *rest = text.split(" ")
+                        each = [first.get(a), *map(later.get, rest)]
+                    else:
+                        each = [later.get(w[1:]) if w[0] == " " else first.get(w) for w in pieces]
+                    if None in each:
+                        names = [a, *(" " + w for w in rest)] if pieces is None else pieces
+                        own, start = [], 0
+                        for i, x in enumerate(each):
+                            if x is None:
+                                segs.append(b"".join(each[start:i]))
+                                own.append(names[i])
+                                start = i + 1
+                        segs.append(b"".join(each[start:]))
+                        holes.append(own)
+                    else:
+                        segs.append(b"".join(each))
+                        holes.append([])
+                counts.append(len(segs))
+            ends = np.cumsum([0] + [len(r) // 4 for r in segs], dtype="int64").astype("int32")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(segs), dtype="<i4")))
+            out = [batch.column(k) for k in key_fields] + [pa.ListArray.from_arrays(pa.array(counts, pa.int32()), ids), pa.array(holes, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(out, names=[*key_fields, "__segs", "__holes"])
+
+    return run
+
+
+def encode(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, hot_chunks: int = HOT_CHUNKS, out: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., out): the ids of every text. Columns besides key and keep are dropped."""
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", "0") or 0) > 1_000_000:
+        spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literal is not worth printing
+    coded = cut(chunk_ids(docs, text, vocabulary))
+    # The most frequent chunks, so that what reaches the driver and the workers has a fixed bound.
+    hot = coded.orderBy(F.desc("n"), "chunk").limit(hot_chunks).select("chunk", "n", "ids").toArrow()
+    held = spark.sparkContext.broadcast(pickle.dumps((hot.column("chunk").to_pylist(), [np.asarray(x, dtype="<i4").tobytes() for x in hot.column("ids").to_pylist()])))
+    keys = [key, *keep]
+    knot = knotted(F.col(text))
+    asked = docs.select(*keys, F.when(~knot, F.col(text)).alias("__text"), F.when(knot, words(F.col(text))).alias("__pieces"))
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    looked = asked.mapInArrow(look_up_chunks(held, keys), f"{schema}, __segs array<array<int>>, __holes array<string>")
+    if hot.num_rows < hot_chunks:
+        return looked.select(*keys, F.get("__segs", F.lit(0)).alias(out))
+    least, last = hot.column("n")[-1].as_py(), hot.column("chunk")[-1].as_py()
+    rest = coded.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("chunk") > last))).select("chunk", "ids")
+    numbered = cut(looked.withColumn("__row", F.monotonically_increasing_id()))
+    asking = numbered.where(F.size("__holes") > 0)
+    filled = asking.select("__row", F.posexplode("__holes").alias("at", "chunk")).join(rest, "chunk").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("f"))
+    both = F.zip_with("__segs", F.transform("f", lambda x: x["ids"]), lambda s, f: F.concat(s, F.coalesce(f, F.array().cast("array<int>"))))
+    done = asking.join(filled, "__row").select(*keys, F.flatten(both).alias(out))
+    return numbered.where(F.size("__holes") == 0).select(*keys, F.get("__segs", F.lit(0)).alias(out)).unionByName(done)
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:

@@ -25,11 +25,23 @@ def test_same_as_public_encoder(spark, tiny):
         assert r["ids"] == enc.encode_ordinary(texts[r["doc_id"]] or ""), texts[r["doc_id"]]
 
 
-def test_rare_chunks_are_merged_on_the_spot(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)], "doc_id bigint, text string")
-    a = {r["doc_id"]: r["ids"] for r in tokenize.encode(docs, "doc_id", "text").collect()}
-    b = {r["doc_id"]: r["ids"] for r in tokenize.encode(docs, "doc_id", "text", hot_chunks=3).collect()}
-    assert a == b
+def test_rare_chunks_are_joined(spark):
+    """Chunks that are not broadcast give the same ids, also in repeated rows, and other columns are kept."""
+    docs = spark.createDataFrame([(i % 15, t, f"s{i}") for i, t in enumerate(HARD + HARD)], "doc_id bigint, text string, source string")
+    get = lambda n: sorted((r["doc_id"], r["source"], r["ids"]) for r in tokenize.encode(docs, "doc_id", "text", hot_chunks=n, keep=("source",)).collect())
+    every = get(1000)
+    assert len(every) == 2 * len(HARD)
+    for n in (1, 3, 20):
+        assert get(n) == every
+
+
+def test_long_words_equal_the_fold(spark):
+    """Words on both sides of LONG_WORD bytes have the ids of the public encoder."""
+    enc = reference()
+    texts = ["ab" * (tokenize.LONG_WORD // 2 + d) for d in (-1, 0, 1, 40)] + ["x" + "é" * (tokenize.LONG_WORD // 2 + d) for d in (-1, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in tokenize.encode(docs, "doc_id", "text").collect():
+        assert r["ids"] == enc.encode_ordinary(texts[r["doc_id"]])
 
 
 def test_empty_table_and_extra_columns(spark):
