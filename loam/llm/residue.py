@@ -1,78 +1,42 @@
 """Template residue and error-page text.
 
-Messages are the titles and lines of pages. A fixed-depth prefix tree (number of words, the first DEPTH words, the last word;
-digits masked) sends each distinct message to a leaf; the words that all messages of a leaf share make its template.
-Templates are judged once by cues; verdicts go back to the lines through their leaf. A template that stands on many
-pages of a site is part of its frame and no case there. Unresolved slots inside ordinary text are found apart, by
-sentence; a sentence that explains a slot is no case. Runs of words without any word that sentences need are filler.
-
-Defined cases: null titles and contents have no messages; blank lines none; messages of over LONGEST words are leaves
-of their own; rows without url count to the site ''; equal copies of a row have equal verdicts.
+Messages are the titles and lines of pages (digits masked). Templates are mined with a fixed-depth prefix tree: a message
+goes to the leaf of its number of words and its first DEPTH words (words with digits alike); in a leaf, a word stays if more than
+SAME of the leaf's distinct messages have it at that place, and becomes <*> else. A message that keeps fewer than SIMILAR of
+its words is not like its leaf and makes a template of its own. Each template is classified once: a text model (see
+notices) gives log odds, and the share of its pages that have no prose besides it adds to or takes from them, as a
+notice that stands instead of real text stands alone. Verdicts go back to the lines through their templates.
+
+A template that is common on a site, or on sites in general, while most of its pages do have prose besides it is part of the frame
+and no case there; a site on which many pages are broken is no such site. Unresolved slots inside ordinary text are
+found apart, by sentence; a sentence that explains a slot is no case.
+
+Defined cases: null titles and contents have no messages; blank lines none; rows without url count to the site ''; equal
+copies of a row have equal verdicts; messages may have any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.urls import site, url_key
+from loam.llm.notices import FUNCTION_WORDS, text_model
 from loam.llm.pages import norm_text
 from loam.storage import cut, sized
 
-DEPTH, LONGEST = 3, 30
-#: A template on so many pages of a site, as a share of them, belongs to the frame.
-FRAME_SHARE, FRAME_PAGES = 0.1, 3
-
-# Cues of messages that stand where real text should, in lower case with digits masked as 0.
-ERRORS = (
-    r"^(?:error )?0(?: - page)?$",
-    r"^(?:page )?not found\b",
-    r"^error(?: 0)?$",
-    r"^internal (?:server )?error\b",
-    r"^bad gateway\b",
-    r"^(?:service )?unavailable\b",
-    r"^(?:access denied|forbidden)\b",
-    r"\b(?:page|file|address) you (?:asked|were looking|requested)\b.*\b(?:not|moved)\b",
-    r"\bnothing lives at this address\b",
-    r"\bno records? found\b",
-    r"\bnot allowed to view\b",
-    r"\bsession has (?:timed out|expired)\b",
-    r"\bdown for maintenance\b",
-    r"\bcould not (?:connect to|finish your request|be loaded)\b",
-    r"\bincident number\b",
-    r"\bdid not answer in time\b",
-    r"\bfailed to open stream\b",
-    r"\b[a-z]+(?:\.[a-z]+)+(?:exception|error)\b",
-    r"\btraceback \(most recent call last\)",
-    r"पृष्ठ नहीं मिला",
-)
-SCRIPTS = (
-    r"\benable javascript\b",
-    r"\bjavascript (?:is|must be|needs to be|required)\b",
-    r"\bscripting disabled\b",
-    r"\bscripts (?:and cookies )?(?:are required|switched on|must be enabled)\b",
-    r"\bchecking your browser\b",
-    r"जावास्क्रिप्ट चालू",
-    r"^loading(?:\.\.\.|…|, please wait)",
-)
-FILLERS = (
-    r"\blorem ipsum\b",
-    r"\byour text goes here\b",
-    r"\bsample text used to\b",
-    r"\breplace it with the text\b",
-    r"\bdummy entry\b",
-    r"\bpage under preparation\b",
-    r"\bcontent coming from field\b",
-    r"^todo\b",
-    r"\bx{4,}\b.*\bx{4,}\b",
-    r"^(?:abc )+abc\b",
-    r"^heading (?:one|two|three|four|0)$",
-    r"^(?:null|undefined|nan|none|\[object object\])(?: (?:null|undefined|nan|none))*$",
-    r"^(?:untitled document|sample page|new page 0)$",
-    r"नमूना पाठ",
-    r"अपना पाठ लिखें",
-)
-CUES = "|".join(f"(?:{c})" for c in (*ERRORS, *SCRIPTS, *FILLERS))
+#: Words of a message that the tree looks at; share of a leaf's messages that make a word fixed; share of fixed words
+#: that makes a message like its leaf.
+DEPTH, SAME, SIMILAR = 3, 0.5, 0.5
+#: Least score of residue; weight of standing alone in it.
+LEAST_SCORE, ALONE = 0.8, 0.6
+#: A template on so many pages of a site, as a share of them, may belong to the frame.
+FRAME_SHARE, FRAME_PAGES, FRAME_PAGES_ALL = 0.1, 3, 6
+#: Characters of a line of prose.
+PROSE = 120
 
 # Shapes of unfilled slots.
 SLOTS = (
@@ -90,62 +54,87 @@ SLOTS = (
 SLOT = "|".join(f"(?:{s})" for s in SLOTS)
 #: Words of a sentence that explains a slot.
 EXPLAINED = r"(?i)\b(?:explains?|marks? the spot|stands? for|is written as|placeholders?|denotes?|means that|shows? how)\b"
-#: Words of which a sentence needs one (English).
-NEEDED = r"\b(?:the|of|and|to|in|for|is|was|were|a|an|on|by|with|at|be|are|from|that|will|has|have|not|or|as|it|its|this|all|no|must|may|should|who|what|why|after|before|under|between|said)\b"
+_PROSE = rf"(?=.*(?:[ऀ-ॿ]|\b(?:{'|'.join(sorted(FUNCTION_WORDS))})\b)).*[.?!।]"
+
+
+def is_prose(message: Column) -> Column:
+    return (F.length(message) >= PROSE) & message.rlike(_PROSE)
+
+
+def has_slot(text: Column) -> Column:
+    """Whether a sentence of the text has an unfilled slot without explaining it."""
+    sentences = F.split(text, r"\n|(?<=[.?!।])\s+(?=[A-Z])")
+    return F.when(text.rlike(SLOT), F.exists(sentences, lambda s: s.rlike(SLOT) & ~s.rlike(EXPLAINED))).otherwise(False)
 
 
 def messages(pages: DataFrame) -> DataFrame:
-    """(page_id, site, doc, message): distinct titles and lines of each page, without a file code at their end."""
-    text = F.regexp_replace(norm_text(F.concat_ws("\n", F.coalesce("title", F.lit("")), "content")), r" ?[(\[](?:file )?[a-z]{5}[)\]] ?(?=\n|$)", "")
-    lines = F.array_distinct(F.split(F.trim(text), " ?\n ?", -1))
-    each = pages.select("page_id", F.coalesce(site(F.col("url")), F.lit("")).alias("site"), F.coalesce(url_key(F.col("url")), F.lit("")).alias("doc"), F.explode(lines).alias("message"))
-    return each.where("message <> ''")
+    """(page_id, site, doc, messages, prose, slot): distinct messages of each page, and its lines of prose."""
+    text = norm_text(F.concat_ws("\n", F.coalesce("title", F.lit("")), "content"))
+    lines = F.filter(F.array_distinct(F.split(F.trim(text), " ?\n ?", -1)), lambda m: m != "")
+    held = pages.select("page_id", F.xxhash64(F.coalesce(site(F.col("url")), F.lit(""))).alias("site"), F.xxhash64(F.coalesce(url_key(F.col("url")), F.lit(""))).alias("doc"), lines.alias("messages"), has_slot(F.concat_ws("\n", "title", "content")).alias("slot"))
+    return held.withColumn("prose", F.size(F.filter("messages", is_prose)))
+
+
+def each_message(held: DataFrame) -> DataFrame:
+    """(page_id, site, doc, message, alone): alone if the page has no prose besides the message."""
+    each = held.select("page_id", "site", "doc", "prose", F.explode("messages").alias("message"))
+    return each.select("page_id", "site", "doc", "message", (F.col("prose") - is_prose(F.col("message")).cast("int") == 0).alias("alone"))
 
 
-def leaf(message: Column) -> Column:
+def leaf(words: Column) -> Column:
     """The leaf of a message in the tree."""
-    words = F.split(message, " ")
-    n = F.size(words)
-    return F.when(n > LONGEST, F.xxhash64(message)).otherwise(F.xxhash64(n, F.array_join(F.slice(words, 1, DEPTH), " "), F.element_at(words, -1)))
+    path = F.transform(F.slice(words, 1, DEPTH), lambda w: F.when(F.contains(w, F.lit("0")), F.lit("<*>")).otherwise(w))
+    return F.xxhash64(F.size(words), F.array_join(path, " "))
 
 
 def templates(once: DataFrame) -> DataFrame:
-    """(leaf, template) of distinct messages (leaf, message): the words that a leaf's messages share, others as <*>."""
-    words = F.split("message", " ")
-    each = once.select("leaf", F.posexplode(F.when(F.size(words) > LONGEST, F.array("message")).otherwise(words)).alias("at", "word"))
-    shared = each.groupBy("leaf", "at").agg(F.min("word").alias("a"), F.max("word").alias("b"))
-    both = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>").alias("w"))))
-    return shared.groupBy("leaf").agg(both.alias("t")).select("leaf", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("template"))
+    """(message, template, ...) of distinct messages; other columns are kept."""
+    held = once.withColumn("__words", F.split("message", " ")).withColumn("__leaf", leaf(F.col("__words")))
+    sizes = held.groupBy("__leaf").agg(F.count("*").alias("__size")).where(F.col("__size") > 1)
+    shared = held.join(sizes, "__leaf")
+    words = shared.select("__leaf", "__size", F.posexplode("__words").alias("__at", "__w"))
+    fixed = words.groupBy("__leaf", "__at", "__w").agg(F.count("*").alias("__n"), F.first("__size").alias("__size")).where(F.col("__n") > SAME * F.col("__size"))
+    shape = sized(fixed.groupBy("__leaf").agg(F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__w").alias("w"))).alias("__fixed")))
+    kept = F.transform("__words", lambda w, i: F.when(F.array_contains(F.col("__fixed"), F.struct(i.alias("at"), w.alias("w"))), w).otherwise("<*>"))
+    made = held.join(shape, "__leaf", "left").withColumn("__kept", kept)
+    like = F.size(F.filter("__kept", lambda w: w != "<*>")) >= SIMILAR * F.size("__words")
+    return made.withColumn("template", F.when(F.col("__fixed").isNotNull() & like, F.array_join("__kept", " ")).otherwise(F.col("message"))).select(*once.columns, "template")
+
+
+def residue_templates(mined: DataFrame) -> DataFrame:
+    """(template): templates of (template, n, alone) that are residue."""
+
+    model = text_model()
 
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            alone = ALONE * (2 * b["alone"] / b["n"] - 1)
+            score = b["template"].map(model.score).astype(float) + alone
+            yield b.loc[score > LEAST_SCORE, ["template"]]
 
-def is_residue(template: Column) -> Column:
-    words = F.split(template, " ")
-    filler = (F.size(words) >= 5) & template.rlike(r"^[a-z .,]+$") & template.rlike(r"\.$") & ~template.rlike(NEEDED)
-    return template.rlike(CUES) | filler
+    return mined.groupBy("template").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone")).mapInPandas(classify, "template string")
 
 
-def slots(pages: DataFrame) -> DataFrame:
-    """(page_id): pages with an unfilled slot that no sentence explains."""
-    text = F.concat_ws("\n", "title", "content")
-    held = pages.select("page_id", text.alias("text")).where(F.col("text").rlike(SLOT))
-    sentence = held.select("page_id", F.explode(F.split("text", r"\n|(?<=[.?!।])\s+(?=[A-Z])")).alias("s"))
-    return sentence.where(F.col("s").rlike(SLOT) & ~F.col("s").rlike(EXPLAINED)).select("page_id").distinct()
+def framed(lines: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(site, tid): templates of lines (site, doc, tid, alone) that belong to the frame of a site."""
+    used = lines.groupBy("site", "tid").agg(F.count_distinct("doc").alias("k"), F.avg(F.col("alone").cast("double")).alias("alone"), F.count("*").alias("n")).join(hosts, "site")
+    every = used.groupBy("tid").agg(F.sum("k").alias("ka"), F.sum("m").alias("ma"), (F.sum(F.col("alone") * F.col("n")) / F.sum("n")).alias("alone_all"))
+    here = (F.col("k") >= FRAME_PAGES) & (F.col("k") >= FRAME_SHARE * F.col("m")) & (F.col("alone") < 0.5)
+    anywhere = (F.col("ka") >= FRAME_PAGES_ALL) & (F.col("ka") >= FRAME_SHARE * F.col("ma")) & (F.col("alone_all") < 0.5)
+    return used.join(every, "tid").where(here | anywhere).select("site", "tid")
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
     """(page_id): pages with residue in title or main body."""
-    each = messages(pages).withColumn("leaf", leaf(F.col("message")))
-    # A template can only have a cue that each of its messages has: the other leaves need no template.
-    once = sized(each.select("leaf", "message").distinct().groupBy("leaf").agg(F.min("message").alias("one")).where(is_residue(F.col("one"))).select("leaf"))
-    held = cut(each.join(once, "leaf", "left_semi"))
-    bad = templates(held.select("leaf", "message").distinct()).where(is_residue(F.col("template"))).select("leaf")
-    lines = held.join(bad, "leaf", "left_semi").select("page_id", "site", "doc", "leaf")
-    sizes = pages.select(F.coalesce(site(F.col("url")), F.lit("")).alias("site"), F.coalesce(url_key(F.col("url")), F.lit("")).alias("doc")).distinct().groupBy("site").agg(F.count("*").alias("m"))
-    used = lines.select("site", "leaf", "doc").distinct().groupBy("site", "leaf").agg(F.count("*").alias("k")).join(sizes, "site")
-    all_ = used.groupBy("leaf").agg(F.sum("k").alias("ka"), F.sum("m").alias("ma"))
-    framed = used.join(all_, "leaf").where(F.when(F.col("k") >= FRAME_PAGES, F.col("k") >= FRAME_SHARE * F.col("m")).otherwise((F.col("ka") >= 2 * FRAME_PAGES) & (F.col("ka") >= FRAME_SHARE * F.col("ma")))).select("site", "leaf")
-    found = lines.join(framed, ["site", "leaf"], "left_anti").select("page_id")
-    return found.unionByName(slots(pages)).distinct()
+    held = cut(messages(pages))
+    each = each_message(held)
+    once = each.groupBy("message").agg(F.count("*").alias("n"), F.count_if("alone").alias("alone"))
+    mined = cut(templates(once))
+    bad = mined.join(residue_templates(mined), "template").select(F.xxhash64("message").alias("id"), F.xxhash64("template").alias("tid"))
+    lines = cut(each.withColumn("id", F.xxhash64("message")).join(sized(bad), "id").select("page_id", "site", "doc", "tid", "alone"))
+    hosts = held.groupBy("site").agg(F.count_distinct("doc").alias("m"))
+    found = lines.join(framed(lines, hosts), ["site", "tid"], "left_anti").select("page_id")
+    return found.unionByName(held.where("slot").select("page_id")).distinct()
 
 
 def clean_pages(pages: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from loam.llm import frame, pages as pg, queries, repeated, residue
+from loam.llm import frame, notices, pages as pg, queries, repeated, residue
 
 SCHEMA = "page_id bigint, url string, title string, content string, headings array<struct<level:int,text:string,id:string>>, lists array<array<string>>, tables array<array<array<string>>>, site string, doc string, node string, lines string"
 
@@ -165,6 +165,66 @@ def test_residue(spark):
     assert residue.clean_pages(df, found).count() == len(items) - len(bad)
 
 
-def test_template(spark):
-    once = spark.createDataFrame([("error in module a at noon today",), ("error in module b at noon today",)], "message string").withColumn("leaf", residue.leaf(F.col("message")))
-    assert [r["template"] for r in residue.templates(once).collect()] == ["error in module <*> at noon today"]
+def test_templates_are_mined(spark):
+    """A leaf's common words stay, also in messages of over thirty words; other leaves are left alone."""
+    long = " ".join(["the", "gate", "of"] + [f"word{chr(97 + i % 20)}" for i in range(40)])
+    made = [f"error in module {x} at noon today" for x in "abc"] + [f"{long} {x}" for x in "pqr"] + ["error in module only", "one two three four five", "one two three six seven"]
+    once = spark.createDataFrame([(m, 1, 1) for m in made], "message string, n int, alone int")
+    got = {r["message"]: r["template"] for r in residue.templates(once).collect()}
+    assert set(got) == set(made)
+    assert {got[m] for m in made[:3]} == {"error in module <*> at noon today"} and {got[m] for m in made[3:6]} == {f"{long} <*>"}
+    assert got[made[6]] == made[6] and got[made[7]] == "one two three <*> <*>"
+
+
+def test_notices_held_out():
+    """Phrasings that the labelled messages do not have."""
+    bad = [
+        "sorry, this document cannot be located on our server",
+        "unable to connect to the database, try again later",
+        "turn on javascript to read this page",
+        "replace this dummy paragraph with your text",
+        "your login session has ended, please log in again",
+        "the website is under maintenance and will be back soon",
+        "http 0 - service not available",
+        "an error occurred while loading the page",
+        "org.foo.bar.indexexception at org.foo.run(0)",
+        "javascript must be enabled in the browser",
+        "this is only sample text, write your own",
+        "no results were found for this id",
+        "access to this page is forbidden",
+        "null undefined null",
+        "qqqq qqqq qqqq",
+        "this page could not be found",
+        "placeholder text for the section",
+        "the requested file does not exist",
+    ]
+    good = [
+        "list of selected candidates",
+        "workshop on error analysis in surveying",
+        "the library stays open on sunday",
+        "tree planting drive",
+        "applications are invited for the post of junior engineer",
+        "the lost and found desk is in the main hall",
+        "hostel allotment list",
+        "road safety week",
+        "time for the second paper is two hours",
+        "मेला सोमवार को होगा",
+        "merit scholarship",
+        "the page proofs of the magazine are ready",
+        "the sample of milk was found pure",
+        "training on office software",
+    ]
+    model = notices.text_model()
+    hits = lambda xs: sum(model.score(x) + residue.ALONE > residue.LEAST_SCORE for x in xs)
+    assert not {*bad, *good} & {*notices.masked(notices.RESIDUE), *notices.masked(notices.ORDINARY)}
+    assert hits(bad) >= 0.85 * len(bad) and hits(good) == 0
+
+
+def test_broken_site_is_no_frame(spark):
+    """A site most of whose pages are errors has all of them found; a notice beside prose is frame."""
+    prose = "The department held a meeting in the hall and it was decided that the work of the new block will be taken up in the summer by the office."
+    items = [page(i, f"https://x.example/{i}", f"Page {chr(97 + i)}", "The page you want does not exist or has been moved.") for i in range(12)]
+    items += [page(20 + i, f"https://x.example/g{i}", f"Good {chr(97 + i)}", f"{prose} {chr(97 + i)}") for i in range(8)]
+    items += [page(40 + i, f"https://y.example/{i}", f"Note {chr(97 + i)}", f"{prose} {chr(97 + i)}\nPlease enable JavaScript to use the map") for i in range(12)]
+    assert {r["page_id"] for r in residue.residue_pages(rows(spark, items)).collect()} == set(range(12))
+
