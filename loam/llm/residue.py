@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.urls import site, url_key
-from loam.llm.notices import FUNCTION_WORDS, text_model
+from loam.llm.notices import text_model
 from loam.llm.pages import norm_text
 from loam.storage import cut, sized
 
@@ -38,33 +38,40 @@ FRAME_SHARE, FRAME_PAGES, FRAME_PAGES_ALL = 0.1, 3, 6
 #: Characters of a line of prose.
 PROSE = 120
 
-# Shapes of unfilled slots.
-SLOTS = (
-    r"\{\{ ?[A-Za-z_][\w .]* ?\}\}",
-    r"\{[A-Za-z_]{4,}\}",
-    r"\$\{[A-Za-z_][\w.]*\}",
-    r"\[\[ ?[A-Za-z_][\w ]* ?\]\]",
-    r"<%=? ?[\w.]+ ?%>",
-    r"<[A-Za-z]+(?:_[A-Za-z]+)*>",
-    r"(?<![\w#])#[A-Za-z]+(?:_[A-Za-z]+)*#",
-    r"(?<![\w%])%[A-Za-z]+(?:_[A-Za-z]+)*%",
-    r"(?<![\w])__[A-Za-z]+(?:_[A-Za-z]+)*__",
-    r"\[(?i:insert|enter|your|add) [A-Za-z ]+\]",
-)
-SLOT = "|".join(f"(?:{s})" for s in SLOTS)
+# Shapes of unfilled slots, by a sign that each has.
+SLOTS = {
+    "{": (r"\{\{ ?[A-Za-z_][\w .]* ?\}\}", r"\$\{[A-Za-z_][\w.]*\}", r"\{[A-Za-z_]{4,}\}"),
+    "[": (r"\[\[ ?[A-Za-z_][\w ]* ?\]\]", r"\[(?i:insert|enter|your|add) [A-Za-z ]+\]"),
+    "<": (r"<%=? ?[\w.]+ ?%>", r"<[A-Za-z]+(?:_[A-Za-z]+)*>"),
+    "#": (r"(?<![\w#])#[A-Za-z]+(?:_[A-Za-z]+)*#",),
+    "%": (r"(?<![\w%])%[A-Za-z]+(?:_[A-Za-z]+)*%",),
+    "__": (r"(?<![\w])__[A-Za-z]+(?:_[A-Za-z]+)*__",),
+}
 #: Words of a sentence that explains a slot.
 EXPLAINED = r"(?i)\b(?:explains?|marks? the spot|stands? for|is written as|placeholders?|denotes?|means that|shows? how)\b"
-_PROSE = rf"(?=.*(?:[ऀ-ॿ]|\b(?:{'|'.join(sorted(FUNCTION_WORDS))})\b)).*[.?!।]"
+# Words of which any prose has one (English, Hindi).
+_PROSE_WORDS = (" the ", " of ", " and ", " to ", " in ", " for ", "ा")
 
 
 def is_prose(message: Column) -> Column:
-    return (F.length(message) >= PROSE) & message.rlike(_PROSE)
+    words = F.contains(message, F.lit(_PROSE_WORDS[0]))
+    for w in _PROSE_WORDS[1:]:
+        words = words | F.contains(message, F.lit(w))
+    return (F.length(message) >= PROSE) & words
+
+
+def with_slot(text: Column) -> Column:
+    """Whether a text has the shape of a slot; a pattern is tried only where its sign stands."""
+    out = F.lit(False)
+    for sign, shapes in SLOTS.items():
+        out = out | (F.contains(text, F.lit(sign)) & text.rlike("|".join(f"(?:{x})" for x in shapes)))
+    return out
 
 
 def has_slot(text: Column) -> Column:
     """Whether a sentence of the text has an unfilled slot without explaining it."""
     sentences = F.split(text, r"\n|(?<=[.?!।])\s+(?=[A-Z])")
-    return F.when(text.rlike(SLOT), F.exists(sentences, lambda s: s.rlike(SLOT) & ~s.rlike(EXPLAINED))).otherwise(False)
+    return F.when(with_slot(text), F.exists(sentences, lambda s: with_slot(s) & ~s.rlike(EXPLAINED))).otherwise(False)
 
 
 def messages(pages: DataFrame) -> DataFrame:
