@@ -57,7 +57,10 @@ def is_prose(message: Column) -> Column:
     words = F.contains(message, F.lit(_PROSE_WORDS[0]))
     for w in _PROSE_WORDS[1:]:
         words = words | F.contains(message, F.lit(w))
-    return (F.length(message) >= PROSE) & words
+    ended = F.endswith(message, F.lit("."))
+    for sign in (". ", "।", "?"):
+        ended = ended | F.contains(message, F.lit(sign))
+    return (F.length(message) >= PROSE) & ended & words
 
 
 def with_slot(text: Column) -> Column:
