@@ -47,6 +47,14 @@ CONTENT_WORDS = (
 # Category of a file by its upload folder.
 FOLDERS = (("/uploads/tender/", "tender"), ("/uploads/notices/", "notices"), ("/uploads/recruitments/", "notices"))
 
+# Tags of an item that make its file a notice.
+NOTICE_TAGS = ("announcement", "notice", "notifications", "recruitments")
+
+
+def from_tags(tags: Column) -> Column:
+    """notices if one of the tags says so, in any letter case; else null."""
+    return F.when(F.arrays_overlap(F.transform(tags, lambda t: F.lower(t)), F.array(*map(F.lit, NOTICE_TAGS))), "notices")
+
 
 def from_url(url: Column) -> Column:
     """Category by the first path segment, also without the s of a plural; null if there is none."""

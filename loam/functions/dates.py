@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Keys that may hold an item's date, in this order; greatest age in months by category.
 DATE_KEYS = ("time", "date", "idate", "published_on", "created_at", "updated_at", "end_time")
-MAX_AGE = {"tender": 6, "tenders": 6, "notices": 1, "notice": 1, "recruitments": 1}
+MAX_AGE = {"tender": 6, "notices": 1, "notice": 1, "notification": 1, "notifications": 1, "recruitments": 1}
 
 
 def months_ago(now: Column, months: Column) -> Column:
@@ -28,8 +28,13 @@ def item_date(text: Column) -> Column:
 
 
 def max_age(category: Column) -> Column:
-    """Months an item of the category may be old; null is no limit."""
+    """Months an item of the category (in any letter case) may be old; null is no limit."""
     out = None
     for name, n in MAX_AGE.items():
-        out = F.when(category == name, n) if out is None else out.when(category == name, n)
+        out = F.when(F.lower(category) == name, n) if out is None else out.when(F.lower(category) == name, n)
     return out
+
+
+def is_recent(date: Column, category: Column, now: Column) -> Column:
+    """Whether an item is young enough for its category; undated ones and other categories are."""
+    return F.coalesce(date >= months_ago(now, max_age(category)), F.lit(True))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def url_key(c: Column) -> Column:
@@ -56,3 +61,34 @@ def link_type(c: Column, domain: str) -> Column:
 
 def file_name(c: Column) -> Column:
     return F.element_at(F.split(c, "/", -1), -1)
+
+
+def _join(base: str | None, href: str | None) -> str | None:
+    if href is None:
+        return None
+    try:
+        out = urljoin(base or "", href.strip())
+        parts = urlsplit(out)
+    except ValueError:
+        return None
+    if not parts.scheme:
+        return None
+    # An absolute url without path has the root path.
+    return out if parts.path or not parts.netloc else parts._replace(path="/").geturl()
+
+
+@F.pandas_udf(StringType())
+def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(base, href): the absolute url of href on a page; null if there is none."""
+    for base, href in batches:
+        yield pd.Series([_join(b, h) for b, h in zip(base, href)], dtype=object)
+
+
+def comparison_key(base: Column, href: Column) -> Column:
+    """Resolved and in lower case, path and query too."""
+    return F.lower(resolve(base, href))
+
+
+def input_list(c: Column) -> Column:
+    """Entries of a comma list, trimmed, without empty ones; null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -10,20 +10,14 @@ from loam.functions.categories import or_general
 from loam.functions.text import trim_ws, word_count
 from loam.operators.links import page_link_stats
 
-# Least length of a kept item; links of the directory item.
-LEAST_TEXT, DIRECTORY_LINKS = 100, 50
+# Least length of a kept item; links of the directory item; characters of a stored chunk.
+LEAST_TEXT, DIRECTORY_LINKS, STORED_TEXT = 100, 50, 1000
 
 
 def empty(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def latest_snapshot(df: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Rows of the snapshot with the latest taken_at."""
-    last = snapshots.where("taken_at is not null").agg(F.max_by("snapshot_id", F.struct("taken_at", "snapshot_id")).alias("snapshot_id"))
-    return df.join(last, "snapshot_id", "left_semi")
-
-
 def standing(df: DataFrame, id_col: str) -> DataFrame:
     """The last capture of each url of a snapshot."""
     order = W.partitionBy("snapshot_id", "url").orderBy(F.col("ts").desc_nulls_last(), F.col(id_col).desc())
@@ -44,8 +38,17 @@ def table_text(tables: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def page_text(pages: DataFrame) -> Column:
-    """Title, url, category, headings, content, tables, lists, description, keywords, in paragraphs."""
+def page_content(pages: DataFrame) -> Column:
+    """The content of a page from its fields: title, headings, blocks, table lines, list items, metadata, by spaces."""
+    none = F.array().cast("array<string>")
+    heads = F.transform(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string,id:string>>")), lambda h: h["text"])
+    every = F.concat(F.array("title"), heads, F.coalesce("raw_content", none), table_text(F.col("tables")), F.flatten(F.coalesce("lists", F.array().cast("array<array<string>>"))), F.array("metadata.description", "metadata.keywords"))
+    return F.array_join(F.filter(every, lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+
+
+def page_text(pages: DataFrame, captured: Column | None = None) -> Column:
+    """Title, url, category, headings, content, tables, lists, description, keywords, captured responses (a text of
+    sections, see xhr.sections), in paragraphs."""
     heads = F.array_join(F.transform(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string,id:string>>")), lambda h: F.concat(F.lit("Heading "), F.coalesce(h["level"].cast("string"), F.lit("")), F.lit(": "), F.coalesce(h["text"], F.lit("")))), "\n")
     lists = F.array_join(F.transform(F.coalesce("lists", F.array().cast("array<array<string>>")), lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), F.coalesce(x, F.lit("")))), "\n")), "\n\n")
     parts = F.array(
@@ -58,6 +61,7 @@ def page_text(pages: DataFrame) -> Column:
         lists,
         F.concat(F.lit("Description: "), F.coalesce("metadata.description", F.lit(""))),
         F.concat(F.lit("Keywords: "), F.coalesce("metadata.keywords", F.lit(""))),
+        F.coalesce(captured, F.lit("")) if captured is not None else F.lit(""),
     )
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
@@ -90,6 +94,31 @@ def items(pages: DataFrame, pdfs: DataFrame) -> DataFrame:
     return every.withColumn("word_count", word_count(F.col("text")))
 
 
+# Urls and titles of the virtual items.
+VIRTUAL = {"directory": ("virtual://links-directory", "Website Links Directory"), "statistics": ("virtual://statistics", "Website Statistics Overview")}
+
+
+def virtual_items(pages: DataFrame, pdfs: DataFrame, links: DataFrame) -> DataFrame:
+    """The directory and the statistics of each snapshot as items; short ones are left out like all items."""
+    parts = {"directory": links_directory(links), "statistics": statistics_item(pages, pdfs, links)}
+    made = [df.select("snapshot_id", F.lit(VIRTUAL[k][0]).alias("url"), F.lit("page").alias("type"), F.lit(VIRTUAL[k][1]).alias("title"), F.lit("virtual").alias("category"), "text") for k, df in parts.items()]
+    every = made[0].unionByName(made[1]).where(F.length(trim_ws(F.col("text"))) > LEAST_TEXT)
+    return every.withColumn("word_count", word_count(F.col("text")))
+
+
+def all_items(pages: DataFrame, pdfs: DataFrame, links: DataFrame) -> DataFrame:
+    """Items of all four kinds: pages, files, directory, statistics."""
+    return items(pages, pdfs).unionByName(virtual_items(pages, pdfs, links))
+
+
+def chunk_records(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(chunk_id, text, chunk_index, total_chunks, link_stats, ...) of chunks (url, idx, total, text, chunk_id) of pages:
+    the text that is stored (its first characters), the counts of links as JSON, and what the page holds."""
+    stats = F.to_json(F.struct(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total", "pdf", "internal", "external", "image")]))
+    held = metadata.select("url", stats.alias("link_stats"), "has_links", "has_tables", "has_lists", "xhr_count")
+    return chunks.withColumnRenamed("total", "total_chunks").join(held, "url", "left").select("chunk_id", "url", F.substring("text", 1, STORED_TEXT).alias("text"), F.col("idx").cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), "link_stats", "has_links", "has_tables", "has_lists", (F.coalesce("xhr_count", F.lit(0)) > 0).alias("has_xhr"), F.coalesce("xhr_count", F.lit(0)).alias("xhr_count"))
+
+
 def links_directory(links: DataFrame) -> DataFrame:
     """(snapshot_id, text): all file links and the first internal links of each snapshot, as one text."""
     line = F.concat(F.lit("- "), empty("text"), F.lit(" - "), empty("url"))
@@ -101,12 +130,15 @@ def links_directory(links: DataFrame) -> DataFrame:
 
 
 def statistics_item(pages: DataFrame, pdfs: DataFrame, links: DataFrame) -> DataFrame:
-    """(snapshot_id, text): totals and pages by category of each snapshot."""
+    """(snapshot_id, text): totals, pages by category, and the files of each snapshot."""
     cats = pages.groupBy("snapshot_id", or_general(F.col("category")).alias("c")).agg(F.count("*").alias("n")).groupBy("snapshot_id").agg(F.sum("n").alias("pages"), F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("c"), F.lit(": "), F.col("n"), F.lit(" pages")))).alias("lines"))
-    files = pdfs.groupBy("snapshot_id").agg(F.count("*").alias("pdfs"))
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
+    line = F.concat(F.lit("- "), empty("title"), F.lit(" ("), count("pages"), F.lit(" pages, "), count("word_count"), F.lit(" words) - "), or_general(F.col("category")))
+    files = pdfs.groupBy("snapshot_id").agg(F.count("*").alias("pdfs"), F.array_sort(F.collect_list(F.struct("pdf_id", line.alias("x")))).alias("files"))
     found = links.groupBy("snapshot_id").agg(F.count("*").alias("links"))
     held = cats.join(files, "snapshot_id", "left").join(found, "snapshot_id", "left").fillna(0)
-    return held.select("snapshot_id", F.concat(F.lit("Total Pages Scraped: "), F.col("pages"), F.lit("\nTotal PDF Documents: "), F.col("pdfs"), F.lit("\nTotal Links Found: "), F.col("links"), F.lit("\nCategories Breakdown:\n"), F.array_join("lines", "\n")).alias("text"))
+    named = F.coalesce(F.array_join(F.transform("files", lambda f: f["x"]), "\n"), F.lit("No PDFs processed"))
+    return held.select("snapshot_id", F.concat(F.lit("Total Pages Scraped: "), F.col("pages"), F.lit("\nTotal PDF Documents: "), F.col("pdfs"), F.lit("\nTotal Links Found: "), F.col("links"), F.lit("\nCategories Breakdown:\n"), F.array_join("lines", "\n"), F.lit("\n\nAvailable PDF Documents:\n"), named).alias("text"))
 
 
 def page_metadata(pages: DataFrame, links: DataFrame) -> DataFrame:

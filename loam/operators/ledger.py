@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loam.functions.text import chunk_id, trim_ws
 
@@ -49,13 +48,51 @@ def merge_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return kept.select(*cols).unionByName(chunks.select(*cols).distinct())
 
 
-def upsert_pdfs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Files matched by url: a field takes the new value unless that is empty (or 0)."""
-    o, n = old.alias("o"), new.alias("n")
-    text = lambda c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")), F.col(f"o.{c}")).alias(c)
-    number = lambda c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit(0)), F.col(f"o.{c}")).alias(c)
-    return o.join(n, F.col("o.url") == F.col("n.url"), "full").select(F.coalesce("n.url", "o.url").alias("url"), F.when(F.col("n.url").isNotNull(), F.col("n.title")).otherwise(F.col("o.title")).alias("title"), text("category"), text("parent_page_title"), number("pages"), number("word_count"))
-
-
-def last_of(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+#: Columns of the whole page ledger.
+PAGE_COLUMNS = ("url", "type", "title", "category", "word_count", "content_hash", "chunk_count", "last_seen_at", "deleted", "version", "last_embedded_at")
+
+
+def page_rows(items: DataFrame, plan: DataFrame, chunks: DataFrame, stored: DataFrame, old: DataFrame, started: Column, updated: Column) -> DataFrame:
+    """The whole page ledger (PAGE_COLUMNS) after a run; urls that the run lacks stay as they are.
+
+    items are (url, type, title, category, word_count) and plan (url, hash, status) of the run, chunks and stored the
+    chunks of its new and changed pages and those of the ledger before. A version goes up if chunks were embedded, if
+    the page is new, or if a changed page only lost chunks; these (but for new pages without chunks) are stamped with
+    updated. All stamps are those of the run.
+    """
+    touched = plan.where("status <> 'UNCHANGED'").select("url", "status")
+    own = chunks.join(touched.select("url"), "url", "left_semi")
+    new = to_embed(own, stored).groupBy("url").agg(F.count("*").alias("new"))
+    # Pages that lost all their chunks have none to be found by.
+    gone = stored.join(touched.select("url"), "url", "left_semi").join(own.select("chunk_id"), "chunk_id", "left_anti").groupBy("url").agg(F.count("*").alias("gone"))
+    count = own.groupBy("url").agg(F.count("*").alias("own"))
+    was = old.select("url", *[F.col(c).alias(f"__{c}") for c in PAGE_COLUMNS[1:]], F.lit(True).alias("__was"))
+    run = items.select("url", "type", "title", "category", "word_count").join(plan, "url").join(new, "url", "left").join(gone, "url", "left").join(count, "url", "left").fillna(0, ["new", "gone", "own"])
+    both = run.join(was, "url", "full")
+    only_lost = (F.col("status") == "MODIFIED") & (F.col("gone") > 0) & (F.col("new") == 0)
+    embedded = F.col("new") > 0
+    up = embedded | (F.col("status") == "NEW") | only_lost
+    seen = F.col("status").isNotNull()
+    pick = lambda fresh, c: F.when(seen, fresh).otherwise(F.col(f"__{c}")).alias(c)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return both.select(
+        "url",
+        *[pick(F.col(c), c) for c in ("type", "title", "category", "word_count")],
+        pick(F.col("hash"), "content_hash"),
+        pick(F.when(F.col("status") == "UNCHANGED", zero("__chunk_count")).otherwise(F.col("own")), "chunk_count"),
+        pick(started, "last_seen_at"),
+        pick(F.lit(False), "deleted"),
+        pick((zero("__version") + F.when(up, 1).otherwise(0)).cast("bigint"), "version"),
+        pick(F.when(embedded | only_lost, updated).otherwise(F.col("__last_embedded_at")), "last_embedded_at"),
+    )
+
+
+def active(pages: DataFrame) -> DataFrame:
+    """Pages of the ledger that are not deleted."""
+    return pages.where(~F.coalesce("deleted", F.lit(False)))
+
+
+def stamped_chunks(chunks: DataFrame, items: DataFrame, at: Column) -> DataFrame:
+    """Rows of the chunk ledger: chunks with one stamp for the run and a snapshot of their item's metadata."""
+    held = items.select("url", F.struct("type", "title", "category").alias("metadata"))
+    return chunks.join(held, "url", "left").select("chunk_id", "url", "idx", "text_hash", F.col("chunk_id").alias("vector_id"), at.alias("stored_at"), "metadata")

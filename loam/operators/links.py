@@ -49,41 +49,30 @@ def key_text(c: Column) -> Column:
 
 
 def link_database(links: DataFrame, pages: DataFrame, pdfs: DataFrame) -> DataFrame:
-    """(key, ord, type, url, text): position of the first insertion, value of the last write of each key.
+    """(key, first, type, url, text, category, context): place of the first insertion, value of the last write of a key.
 
     Order: file links (by text, then by file name), page links, pages, files; each by id. Null texts count as ''.
+    Tables without category or context give null.
     """
     text = F.coalesce("text", F.lit(""))
-    value = lambda kind, url, t: F.struct(F.lit(kind).alias("type"), url.alias("url"), t.alias("text"))
+    none = F.lit(None).cast("string")
+    value = lambda kind, url, t, category=none, context=none: F.struct(F.lit(kind).alias("type"), url.alias("url"), t.alias("text"), category.alias("category"), context.alias("context"))
+    at = lambda a, b, c: F.struct(F.lit(a).alias("a"), b.alias("b"), F.lit(c).alias("c")).alias("ord")
+    key = lambda head, c: F.concat(F.lit(head), c).alias("key")
+    own = lambda df, c: F.col(c) if c in df.columns else none
     pdf = links.where("link_type = 'pdf' and url is not null")
+    link = lambda kind: value(kind, F.col("url"), text, context=own(links, "context")).alias("v")
+    title = F.coalesce("title", F.lit(""))
+    name = F.lower(F.regexp_replace(file_name(F.col("url")), r"^(.*?)\.pdf", "$1"))
     parts = [
-        pdf.select(F.concat(F.lit("pdf_"), key_text(text)).alias("key"), F.struct(F.lit(1).alias("a"), F.col("link_id").alias("b"), F.lit(0).alias("c")).alias("ord"), value("pdf", F.col("url"), text).alias("v")),
-        pdf.select(F.concat(F.lit("pdf_"), F.lower(F.regexp_replace(file_name(F.col("url")), r"^(.*?)\.pdf", "$1"))).alias("key"), F.struct(F.lit(1).alias("a"), F.col("link_id").alias("b"), F.lit(1).alias("c")).alias("ord"), value("pdf", F.col("url"), text).alias("v")),
-        links.where("link_type = 'internal' and url is not null").select(F.concat(F.lit("page_"), key_text(text)).alias("key"), F.struct(F.lit(2).alias("a"), F.col("link_id").alias("b"), F.lit(0).alias("c")).alias("ord"), value("page", F.col("url"), text).alias("v")),
-        pages.select(F.concat(F.lit("page_"), key_text(F.coalesce("title", F.lit("")))).alias("key"), F.struct(F.lit(3).alias("a"), F.col("page_id").alias("b"), F.lit(0).alias("c")).alias("ord"), value("page", F.col("url"), F.coalesce("title", F.lit(""))).alias("v")),
-        pdfs.select(F.concat(F.lit("pdf_"), key_text(F.coalesce("title", F.lit("")))).alias("key"), F.struct(F.lit(4).alias("a"), F.col("pdf_id").alias("b"), F.lit(0).alias("c")).alias("ord"), value("pdf_document", F.col("url"), F.coalesce("title", F.lit(""))).alias("v")),
+        pdf.select(key("pdf_", key_text(text)), at(1, F.col("link_id"), 0), link("pdf")),
+        pdf.select(key("pdf_", name), at(1, F.col("link_id"), 1), link("pdf")),
+        links.where("link_type = 'internal' and url is not null").select(key("page_", key_text(text)), at(2, F.col("link_id"), 0), link("page")),
+        pages.select(key("page_", key_text(title)), at(3, F.col("page_id"), 0), value("page", F.col("url"), title, own(pages, "category")).alias("v")),
+        pdfs.select(key("pdf_", key_text(title)), at(4, F.col("pdf_id"), 0), value("pdf_document", F.col("url"), title, own(pdfs, "category")).alias("v")),
     ]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     held = every.groupBy("key").agg(F.min("ord").alias("first"), F.max_by("v", "ord").alias("v"))
     return held.select("key", "first", "v.*")
-
-
-def grams(c: Column, n: int = 4) -> Column:
-    """Distinct substrings of length n."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-
-
-def match_links(questions: DataFrame, links: DataFrame, most: int = LINKS_PER_QUESTION) -> DataFrame:
-    """(q_id, key, rank): the first links whose text lies in the question.
-
-    A text that lies in a question shares its whole word sequence with it, so the pair is found by an equi-join on the
-    text's first word and checked afterwards; no pair of all questions and links is formed.
-    """
-    q = questions.select("q_id", F.lower("question").alias("question"))
-    words = q.select("q_id", "question", F.explode(F.array_distinct(F.split("question", " "))).alias("w"))
-    asked = links.where("text <> ''").select("key", "first", F.lower("text").alias("t"), F.split(F.lower("text"), " ")[0].alias("w"))
-    hit = words.join(asked, "w").where(F.contains("question", F.col("t"))).select("q_id", "key", "first").distinct()
-    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("first", "key")))
-    return ranked.where(F.col("rank") <= most).select("q_id", "key", F.col("rank").cast("bigint").alias("rank"))

@@ -87,3 +87,8 @@ def lru_replay(events: DataFrame, space: str, key: str, size: int) -> DataFrame:
 
     ordered = events.where("ts is not null").repartition(F.col(space)).sortWithinPartitions(space, "ts", "event_id")
     return ordered.select(F.col(space).cast("string").alias("s"), F.col(key).cast("string").alias("k"), "event_id").mapInPandas(run, "event_id bigint, hit boolean")
+
+
+def hit_counts(replayed: DataFrame) -> DataFrame:
+    """(hits, misses) of a replayed cache (event_id, hit)."""
+    return replayed.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))

@@ -7,7 +7,7 @@ values are the kinds of its elements, so that elements without scalar fields are
 ancestor is rebuilt from the level sequences alone: counters over the repetition levels give the index of each
 element at every depth, and the deepest object around it is its parent.
 
-Defined cases: null, empty or invalid JSON (also NaN, Infinity and nesting beyond MAX_DEPTH) gives no column; a key
+Defined cases: null, empty or invalid JSON (also NaN and Infinity) gives no column; nesting may have any depth; a key
 that occurs twice keeps its last value; half surrogates become U+FFFD; an object or array that is empty leaves only
 its marker entry.
 """
@@ -15,14 +15,14 @@ its marker entry.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Deepest nesting that is read.
-MAX_DEPTH = 2000
 #: Steps of a path besides the keys, which are strings: into an array; from an array to its marker column.
 REP, MARK = 0, 1
 
@@ -33,13 +33,79 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
+_SPACE = re.compile(r"[ \t\n\r]*")
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+def parse_deep(text: str) -> object:
+    """json.loads for nesting of any depth: open containers are kept on a list."""
+    skip = lambda i: _SPACE.match(text, i).end()
+
+    def key_at(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(i)
+        k, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(i)
+        return k, skip(i + 1)
+
+    open_: list[tuple[dict | list, str]] = []
+    i = skip(0)
+    while True:
+        c = text[i : i + 1]
+        v: object
+        if c == "{" or c == "[":
+            v = {} if c == "{" else []
+            i = skip(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                k, i = key_at(i) if c == "{" else ("", i)
+                open_.append((v, k))
+                continue
+            i += 1
+        elif c == '"':
+            v, i = scanstring(text, i + 1, True)
+        elif m := _NUMBER.match(text, i):
+            v, i = (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+        else:
+            name = next((n for n in _LITERALS if text.startswith(n, i)), None)
+            if name is None:
+                raise ValueError(i)
+            v, i = _LITERALS[name], i + len(name)
+        # v is whole: put it into its container, and close containers that end here.
+        while open_:
+            box, k = open_.pop()
+            if isinstance(box, dict):
+                box[k] = v
+            else:
+                box.append(v)
+            i = skip(i)
+            c = text[i : i + 1]
+            if c == ",":
+                i = skip(i + 1)
+                k, i = key_at(i) if isinstance(box, dict) else ("", i)
+                open_.append((box, k))
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError(i)
+            v, i = box, i + 1
+        else:
+            if skip(i) != len(text):
+                raise ValueError(i)
+            return v
+
+
 def parse(text: str | None) -> tuple[bool, object]:
     """(is valid, value)."""
     if not text:
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        try:
+            return True, json.loads(text, parse_constant=_no_constant)
+        except RecursionError:
+            return True, parse_deep(text)
+    except ValueError:
         return False, None
 
 
@@ -57,18 +123,16 @@ class Column_:
 def schema_of(value: object) -> dict:
     """The tree of steps below a record: keys and REP; the entry None marks a scalar."""
     tree: dict = {}
-    todo = [(value, tree, 0)]
+    todo = [(value, tree)]
     while todo:
-        v, node, depth = todo.pop()
-        if depth > MAX_DEPTH:
-            raise RecursionError
+        v, node = todo.pop()
         if isinstance(v, dict):
             for k, x in v.items():
-                todo.append((x, node.setdefault(k, {}), depth + 1))
+                todo.append((x, node.setdefault(k, {})))
         elif isinstance(v, list):
             below = node.setdefault(REP, {})
             for x in v:
-                todo.append((x, below, depth + 1))
+                todo.append((x, below))
         else:
             node[None] = True
     return tree
@@ -169,10 +233,7 @@ def object_rows(pages: DataFrame) -> DataFrame:
                 if not ok:
                     continue
                 root = f"xhr_responses[{pos}]"
-                try:
-                    columns = shred(value, markers_only=True)
-                except RecursionError:
-                    continue
+                columns = shred(value, markers_only=True)
                 for path, column in columns.items():
                     values = column.values
                     for index, n in indices(path[:-1], column):
@@ -196,10 +257,7 @@ def leaf_columns(pages: DataFrame) -> DataFrame:
                 ok, value = parse(text)
                 if not ok:
                     continue
-                try:
-                    columns = shred(value)
-                except RecursionError:
-                    continue
+                columns = shred(value)
                 for path, c in columns.items():
                     name = "data" + "".join({REP: "[]", MARK: "#kind"}.get(s) or f".{s}" for s in path)
                     out.append((page, pos, clean(name), c.reps, c.defs, [v if v is None else clean(v) for v in c.values]))
@@ -219,10 +277,7 @@ def field_rows(pages: DataFrame) -> DataFrame:
                 if not ok:
                     continue
                 root = f"xhr_responses[{pos}]"
-                try:
-                    columns = shred(value)
-                except RecursionError:
-                    continue
+                columns = shred(value)
                 for path, c in columns.items():
                     if path and path[-1] == MARK:
                         continue

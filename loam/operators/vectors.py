@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loam.operators.links import LINK_SCORE
+
 
 #: Queries held by a worker at a time; more are worked on in further blocks.
 QUERY_BLOCK = 4096
@@ -73,9 +75,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, least: float |
     return ranked.where(F.col("place") <= k)
 
 
-def sources(hits: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Sources of hits: score filter, the first in hit order for each url, rows without url kept, then by score."""
+def link_sources(matched: DataFrame, links: DataFrame) -> DataFrame:
+    """(q_id, place, url, title, score, text, source): matched links (q_id, key, rank) as sources of one score."""
+    held = matched.join(links.select("key", "type", "url", "text", "context"), "key")
+    return held.select("q_id", F.col("rank").alias("place"), "url", F.col("text").alias("title"), F.lit(LINK_SCORE).alias("score"), F.coalesce(F.nullif("context", F.lit("")), "text").alias("text"), F.col("type").alias("source"))
+
+
+def sources(hits: DataFrame, docs: DataFrame, least: float, linked: DataFrame | None = None) -> DataFrame:
+    """Sources of hits: score filter, the first in hit order for each url, rows without url kept, then by score.
+
+    linked are the sources of links: they come after those of documents, so a url found in a document stays with it.
+    """
     held = hits.join(docs.select(F.col("doc_id").alias("vec_id"), "url", "title", "text"), "vec_id")
+    if linked is not None:
+        parts = held.select("q_id", F.struct(F.lit(0).alias("kind"), "place").alias("place"), "url", "title", "score", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, SOURCE_TEXT), F.lit("...")).alias("text"), F.lit("document").alias("source"))
+        both = parts.unionByName(linked.withColumn("place", F.struct(F.lit(1).alias("kind"), "place"))).where(F.coalesce("score", F.lit(0.0)) >= least)
+        one = F.row_number().over(W.partitionBy("q_id", "url").orderBy("place"))
+        return both.withColumn("n", one).where("n = 1 or url is null or url = ''").withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "place")).cast("bigint")).drop("n", "place")
     kept = held.where(F.coalesce("score", F.lit(0.0)) >= least).select("q_id", "place", "url", "title", "score", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, SOURCE_TEXT), F.lit("...")).alias("text"))
     first = F.row_number().over(W.partitionBy("q_id", "url").orderBy("place"))
     return kept.withColumn("n", first).where("n = 1 or url is null or url = ''").drop("n").withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "place")).cast("bigint")).drop("place")

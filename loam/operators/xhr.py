@@ -6,6 +6,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,6 +72,44 @@ def fragment_rows(pages: DataFrame) -> DataFrame:
     return responses(pages).select("page_id", "pos", "data").mapInPandas(run, "page_id bigint, pos int, n int, fragment string")
 
 
+def sections(pages: DataFrame) -> DataFrame:
+    """(page_id, text): the fragments of a page's responses, a section for each that has any, numbered by its place."""
+    lines = fragment_rows(pages).groupBy("page_id", "pos").agg(F.array_sort(F.collect_list(F.struct("n", "fragment"))).alias("f")).select("page_id", "pos", F.array_join(F.transform("f", lambda x: x["fragment"]), "\n").alias("lines"))
+    heads = pages.select("page_id", F.posexplode("xhr_responses").alias("pos", "r")).select("page_id", "pos", F.filter(F.array(F.nullif("r.url", F.lit("")), F.concat(F.lit("status "), F.col("r.status")), F.date_format("r.captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), lambda x: x.isNotNull()).alias("h"))
+    head = F.concat(F.lit("XHR "), F.col("pos") + 1, F.when(F.size("h") > 0, F.concat(F.lit(" ("), F.array_join("h", " | "), F.lit(")"))).otherwise(""), F.lit("\n"), F.col("lines"))
+    return lines.join(heads, ["page_id", "pos"]).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", head.alias("x")))).alias("s")).select("page_id", F.array_join(F.transform("s", lambda x: x["x"]), "\n\n").alias("text"))
+
+
+def merged(entries: DataFrame, order: list[str]) -> DataFrame:
+    """Entries (page_key, url, captured_at, ...) of pages, the first of each url and time: what was captured under
+    several names of one page becomes one list. Null urls and times count as equal."""
+    rest = [c for c in entries.columns if c not in ("page_key", "url", "captured_at")]
+    held = entries.groupBy("page_key", F.coalesce("url", F.lit("")).alias("url"), "captured_at").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x"))
+    return held.select("page_key", "url", "captured_at", "__x.*")
+
+
+_DIGITS = re.compile(r"[0-9]{10,}")
+
+
+def first_date(item: dict) -> str | None:
+    """The first value of the date keys that is a time, as text; numbers are seconds, or milliseconds if over 1e12."""
+    for k in DATE_KEYS:
+        v = item.get(k)
+        if isinstance(v, bool) or v is None:
+            continue
+        if isinstance(v, (int, float)) or isinstance(v, str) and _DIGITS.fullmatch(v.strip()):
+            x = float(v)
+            if abs(x if x > 1e12 else x * 1000) <= 8.64e15:
+                return v.strip() if isinstance(v, str) else json.dumps(v)
+        elif isinstance(v, str) and v.strip():
+            try:
+                datetime.fromisoformat(v.strip())
+                return v.strip()
+            except ValueError:
+                continue
+    return None
+
+
 def item_rows(pages: DataFrame) -> DataFrame:
     """(page_id, pos, n, title, date_text): items of top-level arrays or of the known list keys."""
 
@@ -88,9 +127,9 @@ def item_rows(pages: DataFrame) -> DataFrame:
                         if not isinstance(x, dict):
                             continue
                         n += 1
-                        date = next((x[k] for k in DATE_KEYS if x.get(k) not in (None, "")), None)
+                        date = first_date(x)
                         title = x.get("title")
-                        out.append((page, pos, n, clean(title) if isinstance(title, str) else None, None if date is None else clean(date if isinstance(date, str) else json.dumps(date))))
+                        out.append((page, pos, n, clean(title) if isinstance(title, str) else None, None if date is None else clean(date)))
             yield pd.DataFrame(out, columns=["page_id", "pos", "n", "title", "date_text"])
 
     return responses(pages).select("page_id", "pos", "data").mapInPandas(run, "page_id bigint, pos int, n int, title string, date_text string")

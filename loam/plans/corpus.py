@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loam.functions import categories, dates, text, urls
 from loam.functions.text import WS
-from loam.operators import chunk, conversation, crawl, items, ledger, links, replay, vectors, xhr
-
+from loam.operators import chunk, conversation, crawl, files, items, ledger, links, matching, replay, snapshot_diff, vectors, xhr
+from loam.sources import sitemap
 from loam.sources.tables import table
 
 DOMAIN = "vandalpur-tech.example"
@@ -109,30 +109,30 @@ def link_backfill(spark: SparkSession, d: str) -> DataFrame:
 _LK = f"regexp_replace(lower(coalesce(X, '')), '{WS}+', '_', 'g')"
 _LINK_DB = f"""
 WITH e AS (
-  SELECT 'pdf_' || {_LK.replace('X', 'text')} AS key, 1 AS a, link_id AS b, 0 AS c, 'pdf' AS type, url, coalesce(text, '') AS text FROM links WHERE link_type = 'pdf' AND url IS NOT NULL
-  UNION ALL SELECT 'pdf_' || lower(regexp_replace(split_part(url, '/', -1), '^(.*?)\\.pdf', '\\1')), 1, link_id, 1, 'pdf', url, coalesce(text, '') FROM links WHERE link_type = 'pdf' AND url IS NOT NULL
-  UNION ALL SELECT 'page_' || {_LK.replace('X', 'text')}, 2, link_id, 0, 'page', url, coalesce(text, '') FROM links WHERE link_type = 'internal' AND url IS NOT NULL
-  UNION ALL SELECT 'page_' || {_LK.replace('X', 'title')}, 3, page_id, 0, 'page', url, coalesce(title, '') FROM pages
-  UNION ALL SELECT 'pdf_' || {_LK.replace('X', 'title')}, 4, pdf_id, 0, 'pdf_document', url, coalesce(title, '') FROM pdfs),
+  SELECT 'pdf_' || {_LK.replace('X', 'text')} AS key, 1 AS a, link_id AS b, 0 AS c, 'pdf' AS type, url, coalesce(text, '') AS text, NULL AS category, context FROM links WHERE link_type = 'pdf' AND url IS NOT NULL
+  UNION ALL SELECT 'pdf_' || lower(regexp_replace(split_part(url, '/', -1), '^(.*?)\\.pdf', '\\1')), 1, link_id, 1, 'pdf', url, coalesce(text, ''), NULL, context FROM links WHERE link_type = 'pdf' AND url IS NOT NULL
+  UNION ALL SELECT 'page_' || {_LK.replace('X', 'text')}, 2, link_id, 0, 'page', url, coalesce(text, ''), NULL, context FROM links WHERE link_type = 'internal' AND url IS NOT NULL
+  UNION ALL SELECT 'page_' || {_LK.replace('X', 'title')}, 3, page_id, 0, 'page', url, coalesce(title, ''), category, NULL FROM pages
+  UNION ALL SELECT 'pdf_' || {_LK.replace('X', 'title')}, 4, pdf_id, 0, 'pdf_document', url, coalesce(title, ''), category, NULL FROM pdfs),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY a, b, c) AS f, row_number() OVER (PARTITION BY key ORDER BY a DESC, b DESC, c DESC) AS l FROM e)
-SELECT x.key, x.a AS first_kind, x.b AS first_id, y.type, y.url, y.text FROM r x JOIN r y ON x.key = y.key AND x.f = 1 AND y.l = 1"""
+SELECT x.key, x.a AS first_kind, x.b AS first_id, y.type, y.url, y.text, y.category, y.context FROM r x JOIN r y ON x.key = y.key AND x.f = 1 AND y.l = 1"""
 
 
-@query(_LINK_DB)
+@query(f"SELECT key, first_kind, first_id, type, url, text FROM ({_LINK_DB})")
 def link_database(spark: SparkSession, d: str) -> DataFrame:
     held = links.link_database(link_rows(spark, d), pages(spark, d), pdfs(spark, d))
     return held.select("key", F.col("first.a").alias("first_kind"), F.col("first.b").alias("first_id"), "type", "url", "text")
 
 
 @query(f"""WITH q AS (SELECT doc_id AS q_id, lower(regexp_replace(trim(text), '{WS}+', ' ', 'g')) AS question FROM documents WHERE doc_id % {EVERY} = 0 AND text IS NOT NULL),
-db AS ({_LINK_DB}), l AS (SELECT key, first_kind, first_id, lower(text) AS t FROM db WHERE text <> ''),
-h AS (SELECT q_id, key, first_kind, first_id FROM q JOIN l ON contains(' ' || question, ' ' || t))
+db AS ({_LINK_DB}), l AS (SELECT key, first_kind, first_id, lower(text) AS t, category FROM db),
+h AS (SELECT q_id, key, first_kind, first_id FROM q JOIN l ON contains(question, t) OR contains(t, question) OR (category <> '' AND contains(question, category)))
 SELECT q_id, key, rank FROM (SELECT q_id, key, row_number() OVER (PARTITION BY q_id ORDER BY first_kind, first_id, key) AS rank FROM h) WHERE rank <= 5""")
 def link_match(spark: SparkSession, d: str) -> DataFrame:
     q = docs(spark, d).where(f"doc_id % {EVERY} = 0 and text is not null").select(F.col("doc_id").alias("q_id"), F.regexp_replace(F.trim("text"), f"{WS}+", " ").alias("question"))
     db = links.link_database(link_rows(spark, d), pages(spark, d), pdfs(spark, d))
     first = db.withColumn("first", F.struct("first.a", "first.b"))
-    return links.match_links(q, first)
+    return matching.match_links(q, first)
 
 
 # Categories, dates, policies ---------------------------------------------------------------------------------------
@@ -161,7 +161,7 @@ def pdf_category(spark: SparkSession, d: str) -> DataFrame:
     return pdfs(spark, d).select("pdf_id", categories.pdf_category(F.col("url")).alias("category"))
 
 
-_AGE = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dates.MAX_AGE.items()) + " END"
+_AGE = "CASE lower(category) WHEN 'tender' THEN 6 WHEN 'notices' THEN 1 WHEN 'notice' THEN 1 WHEN 'notification' THEN 1 WHEN 'notifications' THEN 1 WHEN 'recruitments' THEN 1 END"
 
 
 @query(f"""SELECT pdf_id, published_at IS NOT NULL AND published_at >= CAST(date_trunc('month', DATE '2024-02-15') - to_months({_AGE}) AS DATE) + 14 AS recent FROM pdfs WHERE ({_AGE}) IS NOT NULL""")
@@ -258,8 +258,8 @@ def links_directory(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH c AS (SELECT snapshot_id, {_GEN} AS c, count(*) AS n FROM pages GROUP BY 1, 2),
 p AS (SELECT snapshot_id, sum(n) AS n, string_agg('- ' || c || ': ' || n || ' pages', chr(10) ORDER BY '- ' || c || ': ' || n || ' pages') AS t FROM c GROUP BY 1)
-SELECT p.snapshot_id, 'Total Pages Scraped: ' || p.n || chr(10) || 'Total PDF Documents: ' || coalesce(f.n, 0) || chr(10) || 'Total Links Found: ' || coalesce(l.n, 0) || chr(10) || 'Categories Breakdown:' || chr(10) || p.t AS text
-FROM p LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM pdfs GROUP BY 1) f USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM links GROUP BY 1) l USING (snapshot_id)""")
+SELECT p.snapshot_id, 'Total Pages Scraped: ' || p.n || chr(10) || 'Total PDF Documents: ' || coalesce(f.n, 0) || chr(10) || 'Total Links Found: ' || coalesce(l.n, 0) || chr(10) || 'Categories Breakdown:' || chr(10) || p.t || chr(10) || chr(10) || 'Available PDF Documents:' || chr(10) || coalesce(f.t, 'No PDFs processed') AS text
+FROM p LEFT JOIN (SELECT snapshot_id, count(*) AS n, string_agg('- ' || coalesce(title, '') || ' (' || coalesce(pages, 0) || ' pages, ' || coalesce(word_count, 0) || ' words) - ' || {_GEN}, chr(10) ORDER BY pdf_id) AS t FROM pdfs GROUP BY 1) f USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM links GROUP BY 1) l USING (snapshot_id)""")
 def stats_item(spark: SparkSession, d: str) -> DataFrame:
     return items.statistics_item(pages(spark, d), pdfs(spark, d), link_rows(spark, d))
 
@@ -281,18 +281,19 @@ def snapshot_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Ledger: the items of each snapshot in the order of ids against those of the snapshot before ------------------------
-_LAST = "(SELECT arg_max(snapshot_id, (taken_at, snapshot_id)) FROM snapshots)"
-_NOW, _OLD = f"(SELECT url, text FROM {_ITEMS} WHERE snapshot_id = {_LAST})", f"(SELECT url, sha256({_TRIM('text')}) AS content_hash, length(url) % 11 = 0 AS deleted, 1 AS version, text FROM {_ITEMS} WHERE snapshot_id = {_LAST} - 1)"
+_RANKED = "(SELECT snapshot_id, row_number() OVER (ORDER BY taken_at DESC NULLS LAST, snapshot_id DESC) AS r FROM snapshots)"
+_LAST, _BEFORE = (f"(SELECT snapshot_id FROM {_RANKED} WHERE r = {r})" for r in (1, 2))
+_NOW, _OLD = f"(SELECT url, text FROM {_ITEMS} WHERE snapshot_id = {_LAST})", f"(SELECT url, sha256({_TRIM('text')}) AS content_hash, length(url) % 11 = 0 AS deleted, 1 AS version, text FROM {_ITEMS} WHERE snapshot_id = {_BEFORE})"
 _STATUS = f"""SELECT n.url, sha256({_TRIM('n.text')}) AS hash, CASE WHEN o.content_hash IS NULL OR o.deleted THEN 'NEW' WHEN o.content_hash = sha256({_TRIM('n.text')}) THEN 'UNCHANGED' ELSE 'MODIFIED' END AS status FROM {_NOW} n LEFT JOIN {_OLD} o USING (url)"""
 
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Items of the latest run, and the ledger that the run before it left (some pages marked as deleted)."""
     every = items.items(pages(spark, d), pdfs(spark, d))
-    last = snaps(spark, d).agg(F.max_by("snapshot_id", F.struct("taken_at", "snapshot_id")).alias("last"))
-    held = every.join(last, F.col("snapshot_id").isin(F.col("last"), F.col("last") - 1))
-    now = held.where("snapshot_id = last").select("url", "text")
-    old = held.where("snapshot_id = last - 1").select("url", F.sha2(text.trim_ws(F.col("text")), 256).alias("content_hash"), (F.length("url") % 11 == 0).alias("deleted"), F.lit(1).alias("version"), "text")
+    ranks = snapshot_diff.snapshot_ranks(snaps(spark, d)).orderBy(F.desc("rank")).limit(2)
+    held = every.join(F.broadcast(ranks), "snapshot_id")
+    now = held.where("next_id is null").select("url", "text")
+    old = held.where("next_id is not null").select("url", F.sha2(text.trim_ws(F.col("text")), 256).alias("content_hash"), (F.length("url") % 11 == 0).alias("deleted"), F.lit(1).alias("version"), "text")
     return now, old
 
 
@@ -342,13 +343,14 @@ def ledger_chunks_merged(spark: SparkSession, d: str) -> DataFrame:
     return ledger.merge_chunks(ledger.line_chunks(now), ledger.line_chunks(old))
 
 
-@query("""WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pdf_id DESC) AS n FROM pdfs WHERE snapshot_id = 1 AND url IS NOT NULL) WHERE n = 1),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pdf_id DESC) AS n FROM pdfs WHERE snapshot_id = 2 AND url IS NOT NULL) WHERE n = 1)
-SELECT coalesce(b.url, a.url) AS url, CASE WHEN b.url IS NOT NULL THEN b.title ELSE a.title END AS title, coalesce(nullif(b.category, ''), a.category) AS category, coalesce(nullif(b.parent_page_title, ''), a.parent_page_title) AS parent_page_title, coalesce(nullif(b.pages, 0), a.pages) AS pages, coalesce(nullif(b.word_count, 0), a.word_count) AS word_count
-FROM a FULL JOIN b ON a.url = b.url""")
+@query("""WITH s AS (SELECT snapshot_id, row_number() OVER (ORDER BY taken_at NULLS FIRST, snapshot_id) AS r FROM snapshots),
+p AS (SELECT pdfs.*, row_number() OVER (ORDER BY coalesce(r, 0), ts NULLS FIRST, pdf_id) AS o FROM pdfs LEFT JOIN s USING (snapshot_id) WHERE url IS NOT NULL)
+SELECT url, arg_max_null(title, o) AS title, arg_max(category, o) FILTER (WHERE category <> '') AS category, arg_max(parent_page_title, o) FILTER (WHERE parent_page_title <> '') AS parent_page_title, arg_max(pages, o) FILTER (WHERE pages <> 0) AS pages, arg_max(word_count, o) FILTER (WHERE word_count <> 0) AS word_count FROM p GROUP BY url""")
 def pdf_upsert(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda n: ledger.last_of(pdfs(spark, d).where(f"snapshot_id = {n} and url is not null"), "url", [F.col("pdf_id").desc()])
-    return ledger.upsert_pdfs(one(1), one(2))
+    """All captures of files folded in the order of their snapshots."""
+    ranks = snapshot_diff.snapshot_ranks(snaps(spark, d)).select("snapshot_id", "rank")
+    held = pdfs(spark, d).join(ranks, "snapshot_id", "left")
+    return files.merged(held, F.struct(F.coalesce("rank", F.lit(0)), "ts", "pdf_id"))
 
 
 # Vectors -----------------------------------------------------------------------------------------------------------
@@ -478,9 +480,7 @@ def sitemap_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries read from url blocks that are written from the pages."""
     xml = F.concat(F.lit("<urlset><URL>\n<loc> "), F.col("url"), F.lit(" </loc><lastmod>"), F.date_format("ts", "yyyy-MM-dd"), F.lit(" </lastmod></URL><url><x/></url></urlset>"))
     p = pages(spark, d).where("url is not null and ts is not null and not contains(url, '<') and not contains(url, ' ')")
-    one = lambda c: F.regexp_extract(F.col("b"), c, 1)
-    each = p.select("page_id", F.explode(F.regexp_extract_all(xml, F.lit(r"(?is)<url\b[^>]*>(.*?)</url>"), F.lit(1))).alias("b"))
-    return each.select("page_id", one(r"(?is)<loc>\s*([^<\s]+)\s*</loc>").alias("loc"), one(r"(?is)<lastmod>\s*([^<]*?)\s*</lastmod>").alias("lastmod")).where("loc <> ''")
+    return sitemap.entries(p.select("page_id", xml.alias("xml")), keep=("page_id",))
 
 
 @query("""SELECT page_id, pos - 1 AS pos, r.status AS status FROM (SELECT page_id, r, pos, row_number() OVER (PARTITION BY page_id, r.url ORDER BY pos) AS n FROM (

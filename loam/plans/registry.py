@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.plans import corpus, problems
+from loam.plans import corpus, problems, retrieval
 
 FLAGSHIP = "cosine_topk"
-_MODULES = (problems, corpus)
+_MODULES = (problems, corpus, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ LEAST_BLOCK, LEAST_ITEM, BLOCK_HEAD = 30, 10, 50
 _SKIP = {"script", "style", "noscript", "template", "svg"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCKS = {"p", "article", "section", "main", "div", "li", "td", "blockquote"}
-SCHEMA = "title string, description string, keywords string, headings array<struct<level:int,text:string>>, blocks array<string>, tables array<array<array<string>>>, lists array<array<string>>, links array<struct<href:string,text:string>>"
+SCHEMA = "title string, description string, keywords string, headings array<struct<level:int,text:string,id:string>>, blocks array<string>, tables array<array<array<string>>>, lists array<array<string>>, links array<struct<href:string,text:string>>"
 
 
 def _squeeze(s: str) -> str:
@@ -66,7 +66,7 @@ class _Reader(HTMLParser):
         if tag == "title" and not self.title:
             self.title = text
         elif re.fullmatch("h[1-6]", tag) and text:
-            self.headings.append((int(tag[1]), text))
+            self.headings.append((int(tag[1]), text, held.get("id") or None))
         elif tag == "a" and held.get("href"):
             self.links.append((held["href"], text))
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
@@ -95,7 +95,7 @@ def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
         for b in batches:
             rows = [dict(zip(names, read_page(h))) for h in b["h"]]
             for x in rows:
-                x["headings"] = [{"level": n, "text": t} for n, t in x["headings"]]
+                x["headings"] = [{"level": n, "text": t, "id": i} for n, t, i in x["headings"]]
                 x["links"] = [{"href": a, "text": t} for a, t in x["links"]]
             yield pd.DataFrame([{"k": k} | x for k, x in zip(b["k"], rows)], columns=["k", *names])
 

@@ -28,7 +28,24 @@ def summary(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("file", "metadata.timestamp", n("pages"), n("pdfs"), n("links.internal"), n("links.external"), n("links.pdf"), n("links.image"))
 
 
-def write_snapshot(pages: DataFrame, pdfs: DataFrame, path: str) -> None:
-    """Write tables of a run as JSON lines, pages and files apart; an existing folder is an error."""
+def write_snapshot(pages: DataFrame, pdfs: DataFrame, path: str, links: DataFrame | None = None) -> None:
+    """Write tables of a run as JSON lines, pages, files, links and statistics apart; an existing folder is an error."""
     pages.write.mode("error").json(f"{path}/pages")
     pdfs.write.mode("error").json(f"{path}/pdfs")
+    if links is not None:
+        links.write.mode("error").json(f"{path}/links")
+        statistics(pages, pdfs, links).coalesce(1).write.mode("error").json(f"{path}/statistics")
+
+
+def statistics(pages: DataFrame, pdfs: DataFrame, links: DataFrame) -> DataFrame:
+    """(total_pages, total_pdfs, total_links, total_images, categorized_pages) of a run, in one row."""
+    parts = [pages.select(F.lit("page").alias("k")), pdfs.select(F.lit("pdf").alias("k")), links.select(F.when(F.col("link_type") == "image", "image").otherwise("link").alias("k"))]
+    n = lambda *ks: F.count_if(F.col("k").isin(*ks))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(n("page").alias("total_pages"), n("pdf").alias("total_pdfs"), n("link", "image").alias("total_links"), n("image").alias("total_images"), n("page").alias("categorized_pages"))
+
+
+def write_files(pdfs: DataFrame, path: str, version: int) -> str:
+    """Write enriched files beside the versions before, never over what may still be read; returns the folder."""
+    folder = f"{path}/v={version}"
+    pdfs.write.mode("error").json(folder)
+    return folder

@@ -149,7 +149,7 @@ def test_sitemaps(spark):
 def test_dom(spark):
     html = "<html><head><title>T &amp; x</title><meta name=Description content='d'></head><body><h1>Head</h1><p>A paragraph that is long enough to keep.<p>short</p><ul><li>an item that is long</li><li>no</li></ul><table><tr><td>a</td><th>b</th></tr></table><a href='/x'>go</a><footer>gone and long enough to be kept otherwise</footer>"
     title, desc, _, heads, blocks, tables, lists, hrefs = dom.read_page(html)
-    assert (title, desc, heads, tables, lists, hrefs) == ("T & x", "d", [(1, "Head")], [[["a", "b"]]], [["an item that is long"]], [("/x", "go")])
+    assert (title, desc, heads, tables, lists, hrefs) == ("T & x", "d", [(1, "Head", None)], [[["a", "b"]]], [["an item that is long"]], [("/x", "go")])
     assert any("long enough to keep" in b for b in blocks) and not any("gone" in b for b in blocks)
     df = spark.createDataFrame([(1, html), (2, None), (3, "<<<p>")], "id bigint, html string")
     assert dom.extract(df, "id", "html").count() == 3

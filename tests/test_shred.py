@@ -82,6 +82,7 @@ def test_edges(spark):
         (1, "xhr_responses[0].data[1][0]", "xhr_responses[0]"),
         (1, "xhr_responses[0].data[1][0].b.c[0]", "xhr_responses[0].data[1][0]"),
         (2, "xhr_responses[5].data.a[0]", "xhr_responses[5]"),
+        (5, "xhr_responses[0].data" + "[0]" * 5000, "xhr_responses[0]"),
     ]
     assert sh.leaf_columns(df).count() > 0 and sh.field_rows(df).count() == 2
 
