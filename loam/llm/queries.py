@@ -87,8 +87,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _areas(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    names, anchors = subjects.fit(docs, table(spark, folder, "doc_labels"), table(spark, folder, "subjects"))
-    return subjects.doc_subjects(docs, names, anchors)
+    return subjects.doc_subjects(docs, subjects.fit(docs, table(spark, folder, "doc_labels"), table(spark, folder, "subjects")))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,9 +3,11 @@
 The document-term matrix of hand-labelled documents (terms: words and pairs of neighbouring words) is factored into
 W H. There is one component for each subject and BACKGROUND free ones; a document's row of W starts on the components
 its labels name and H starts as the W-weighted term counts, so each component is anchored to its subject. Alternating
-multiplicative updates then let wrong labels fade and unlabelled subjects of a document appear. H gives each term a
-mixture over components; a document is scored by sentences: a sentence has the mixture of its anchored terms, and a
-document has the areas that at least SHARE of its sentences are about.
+multiplicative updates then let wrong labels fade and unlabelled subjects of a document appear.
+
+H is then held fixed, and the rows of W of all other text are folded in by the same updates. Rows are sentences over the
+anchored terms, those of which one subject's component holds at least ANCHORED; a sentence is about the subject that leads its row. A document's
+mixture is the share of its sentences that each subject leads, and it has the areas with at least SHARE.
 
 Labels are fitted on at most SAMPLE labelled documents, those with the least hash of doc_id; that bound keeps the
 fitting on the driver. Counting, scoring and composition cover all documents.
@@ -20,7 +22,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,8 @@ MOST_SUBJECTS = 1_000
 BACKGROUND = 2
 SHARE = 0.25
 ROUNDS = 12
+#: Updates of a row that is folded in.
+FOLDS = 4
 LEAST_DF = 3
 ANCHORED = 0.55
 
@@ -66,12 +71,34 @@ def terms(sentence: str) -> list[str]:
     return ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]
 
 
-def factor(docs: list[set[str]], labels: list[Counter], subjects: list[str], rounds: int = ROUNDS, background: int = BACKGROUND) -> dict[str, tuple[int, float]]:
-    """term: (component, share of the term that the component holds), for terms anchored to a subject."""
+@dataclass
+class Model:
+    """H at the anchored terms: rows of terms, columns of components (subjects first, then background)."""
+
+    subjects: list[str]
+    terms: dict[str, int]
+    h: np.ndarray
+    #: Sums of H by component over all terms, and how much of the fitted documents each component holds.
+    total: np.ndarray
+    mass: np.ndarray
+
+    def fold(self, rows: np.ndarray, cols: np.ndarray, n: int, rounds: int = FOLDS) -> np.ndarray:
+        """Rows of W, for entries (row, term) of a matrix of n rows in which every row has one."""
+        w = np.tile(self.mass, (n, 1))
+        held, starts = self.h[cols], np.searchsorted(rows, np.arange(n))
+        for _ in range(rounds):
+            q = 1 / np.maximum(np.einsum("ij,ij->i", w[rows], held), np.float32(1e-20))
+            w *= np.add.reduceat(held * q[:, None], starts, axis=0) / self.total
+        return w
+
+
+def factor(docs: list[set[str]], labels: list[Counter], subjects: list[str], rounds: int = ROUNDS, background: int = BACKGROUND) -> Model:
+    """The factorisation of labelled documents (sets of terms)."""
+    none = Model(subjects, {}, np.zeros((0, len(subjects) + background), np.float32), np.ones(len(subjects) + background, np.float32), np.ones(len(subjects) + background, np.float32))
     df = Counter(t for d in docs for t in d)
     vocab = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n >= LEAST_DF))}
     if not vocab or not docs:
-        return {}
+        return none
     rows, cols = [], []
     for i, d in enumerate(docs):
         own = [vocab[t] for t in d if t in vocab]
@@ -79,7 +106,7 @@ def factor(docs: list[set[str]], labels: list[Counter], subjects: list[str], rou
         cols += own
     r, c = np.asarray(rows), np.asarray(cols)
     if not len(r):
-        return {}
+        return none
     n, m, k = len(docs), len(vocab), len(subjects) + background
     rng = np.random.default_rng(11)
     w = np.full((n, k), 0.02, dtype=np.float32)
@@ -116,28 +143,33 @@ def factor(docs: list[set[str]], labels: list[Counter], subjects: list[str], rou
     share = mass / mass.sum(1, keepdims=True)
     best = share.argmax(1)
     top = share[np.arange(m), best]
-    return {t: (int(best[i]), float(top[i])) for t, i in vocab.items() if best[i] < len(subjects) and top[i] >= ANCHORED}
-
-
-def sentence_subjects(text: str | None, anchors: dict[str, tuple[int, float]]) -> tuple[int, Counter]:
-    """(number of sentences, sentences by subject)."""
-    found: Counter = Counter()
-    all_ = sentences(text)
-    for s in all_:
-        mix: dict[int, float] = {}
-        for t in terms(s):
-            if (a := anchors.get(t)) is not None:
-                mix[a[0]] = mix.get(a[0], 0.0) + a[1]
-        if mix:
-            top = max(mix.values())
-            for k, v in mix.items():
-                if v >= 0.999 * top:
-                    found[k] += 1
-    return len(all_), found
-
-
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, tuple[int, float]]]:
-    """(subjects, anchors) from at most sample labelled documents."""
+    kept = [t for t, i in vocab.items() if best[i] < len(subjects) and top[i] >= ANCHORED]
+    at = np.asarray([vocab[t] for t in kept], dtype=np.int64)
+    return Model(subjects, {t: i for i, t in enumerate(kept)}, h[at].astype(np.float32), h.sum(0).astype(np.float32), w.sum(0).astype(np.float32))
+
+
+def mixtures(texts: list[str | None], model: Model) -> list[tuple[int, Counter]]:
+    """(number of sentences, sentences led by each subject) of each text."""
+    counts, owner, rows, cols = [], [], [], []
+    get = model.terms.get
+    for i, text in enumerate(texts):
+        all_ = sentences(text)
+        counts.append((len(all_), Counter()))
+        for s in all_:
+            own = {c for t in terms(s) if (c := get(t)) is not None}
+            if own:
+                rows += [len(owner)] * len(own)
+                cols += sorted(own)
+                owner.append(i)
+    if owner:
+        w = model.fold(np.asarray(rows), np.asarray(cols), len(owner))[:, : len(model.subjects)]
+        for r, k in zip(*np.nonzero(w >= 0.999 * w.max(1, keepdims=True))):
+            counts[owner[r]][1][int(k)] += 1
+    return counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of at most sample labelled documents."""
     names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().take(MOST_SUBJECTS + 1))
     if len(names) > MOST_SUBJECTS:
         raise ValueError("too many subjects for one factorisation")
@@ -157,18 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = S
     rows = texts.mapInPandas(shorten, "doc_id bigint, terms array<string>").toPandas().sort_values("doc_id")
     sets = [set(t) for t in rows["terms"]]
     labs = [Counter({at[s]: n for s, n in by[d].items() if s in at}) for d in rows["doc_id"]]
-    return names, factor(sets, labs, names)
+    return factor(sets, labs, names)
 
 
-def doc_subjects(docs: DataFrame, names: list[str], anchors: dict[str, tuple[int, float]], share: float = SHARE) -> DataFrame:
+def doc_subjects(docs: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
     """(doc_id, subject, sentences, of): the areas of each document with their sentences."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for d, text in zip(b["doc_id"], b["text"]):
-                n, found = sentence_subjects(text, anchors)
-                out += [(d, names[k], x, n) for k, x in sorted(found.items()) if x >= share * n]
+            for d, (n, found) in zip(b["doc_id"], mixtures(list(b["text"]), model)):
+                out += [(d, model.subjects[k], x, n) for k, x in sorted(found.items()) if x >= share * n]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "of"])
 
     return docs.select("doc_id", "text").where("text is not null").mapInPandas(score, "doc_id bigint, subject string, sentences int, of int")

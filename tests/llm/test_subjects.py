@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from loam.llm import subjects as sj
 
 TOPICS = {"law": ["court order", "witness statement", "stamp duty"], "sport": ["chess tournament", "relay race", "goal keeper"], "arts": ["folk music", "street play", "short film"]}
@@ -30,8 +32,7 @@ def test_held_out(spark):
     docs, labels, truth = corpus()
     docs += [(900, None, "x"), (901, "", "x"), (902, "  \n ", "x"), (903, "word", "x")]
     d, lab, s = frames(spark, docs, labels + [(5000, "law", "w1"), (3, "unknown", "w2"), (3, None, "w2")])
-    names, anchors = sj.fit(d, lab, s)
-    found = sj.doc_subjects(d, names, anchors)
+    found = sj.doc_subjects(d, sj.fit(d, lab, s))
     got = {}
     for r in found.collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
@@ -45,8 +46,20 @@ def test_held_out(spark):
 def test_without_labels(spark):
     docs, _, _ = corpus(20)
     d, lab, s = frames(spark, docs, [])
-    names, anchors = sj.fit(d, lab, s)
-    assert anchors == {} and sj.doc_subjects(d, names, anchors).collect() == []
+    model = sj.fit(d, lab, s)
+    assert model.terms == {} and sj.doc_subjects(d, model).collect() == []
+
+
+def test_fold_is_a_fixed_point():
+    """Rows of a matrix that is W H itself are found again."""
+    rng = np.random.default_rng(2)
+    h = rng.random((6, 3)).astype(np.float32) ** 4
+    model = sj.Model(["a", "b", "c"], {str(i): i for i in range(6)}, h, h.sum(0), np.ones(3, np.float32))
+    rows, cols = np.repeat([0, 1, 2], [1, 2, 3]), np.asarray([int(h[:, 0].argmax()), *h[:, 1].argsort()[-2:], *h[:, 2].argsort()[-3:]])
+    w = model.fold(rows, cols, 3, rounds=200)
+    # The updates keep the sum of W H equal to that of the data, and rest where they are.
+    assert np.allclose((w * model.total).sum(1), [1, 2, 3], rtol=1e-3)
+    assert np.allclose(w, model.fold(rows, cols, 3, rounds=201), atol=1e-3)
 
 
 def test_sentences():
