@@ -67,18 +67,21 @@ def cache_replay(events: DataFrame, key: str, ttl_s: float | None = None) -> Dat
     return held.mapInPandas(run, "event_id bigint, hit boolean")
 
 
-def lru_replay(events: DataFrame, space: str, key: str, size: int) -> DataFrame:
-    """(event_id, hit): each space holds the size keys used last."""
+def lru_replay(events: DataFrame, space: str, key: str, size: int, ttl_s: float | None = None) -> DataFrame:
+    """(event_id, hit): each space holds the size keys used last, each until ttl_s after its write (a hit does not renew
+    that). A space is worked through in order by one task: what it holds depends on all events before."""
+    span = None if ttl_s is None else int(ttl_s * 1_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = object(), OrderedDict()
         for b in batches:
             out = []
-            for s, k in zip(b["s"], b["k"]):
+            for s, k, t in zip(b["s"], b["k"], b["t"]):
                 if s != now:
                     now, held = s, OrderedDict()
-                hit = k in held
-                held[k] = True
+                hit = k in held and (span is None or t - held[k] <= span)
+                if not hit:
+                    held[k] = t
                 held.move_to_end(k)
                 if len(held) > size:
                     held.popitem(last=False)
@@ -86,7 +89,7 @@ def lru_replay(events: DataFrame, space: str, key: str, size: int) -> DataFrame:
             yield pd.DataFrame({"event_id": b["event_id"], "hit": out})
 
     ordered = events.where("ts is not null").repartition(F.col(space)).sortWithinPartitions(space, "ts", "event_id")
-    return ordered.select(F.col(space).cast("string").alias("s"), F.col(key).cast("string").alias("k"), "event_id").mapInPandas(run, "event_id bigint, hit boolean")
+    return ordered.select(F.col(space).cast("string").alias("s"), F.col(key).cast("string").alias("k"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).mapInPandas(run, "event_id bigint, hit boolean")
 
 
 def hit_counts(replayed: DataFrame) -> DataFrame:

@@ -159,11 +159,13 @@ def masks(bits: int, radius: int) -> list[int]:
     return out
 
 
-def near(queries: DataFrame, items: DataFrame, bits: int, radius: int) -> DataFrame:
-    """(q_id, vec_id): pairs whose signatures differ in at most radius bits: an equi-join on neighbour signatures."""
+def near(queries: DataFrame, items: DataFrame, bits: int, radius: int, apart: tuple[str, ...] = ()) -> DataFrame:
+    """(q_id, vec_id): pairs whose signatures differ in at most radius bits: an equi-join on neighbour signatures.
+
+    apart names further columns of both sides that must be equal, such as the model that made the vectors."""
     around = F.transform(F.array(*map(F.lit, masks(bits, radius))), lambda m: F.col("sig").bitwiseXOR(m.cast("bigint")))
-    asked = queries.select("q_id", F.explode(around).alias("sig"))
-    return asked.join(items.select("vec_id", "sig"), "sig").where(F.col("q_id") != F.col("vec_id")).select("q_id", "vec_id")
+    asked = queries.select("q_id", *apart, F.explode(around).alias("sig"))
+    return asked.join(items.select("vec_id", *apart, "sig"), [*apart, "sig"]).where(F.col("q_id") != F.col("vec_id")).select("q_id", "vec_id")
 
 
 def best_hit(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:

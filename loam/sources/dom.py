@@ -87,6 +87,13 @@ def read_page(html: str | None, strip_footer: bool = True) -> tuple:
     return (r.title, r.meta.get("description"), r.meta.get("keywords"), r.headings, r.blocks, [t for t in ([row for row in t if row] for t in r.tables) if t], [x for x in r.lists if x], r.links)
 
 
+def with_defaults(pages: DataFrame) -> DataFrame:
+    """Extracted fields with nulls replaced: texts by '', lists by empty ones."""
+    kinds = {f.name: f.dataType for f in pages.schema.fields}
+    fill = lambda c: F.coalesce(F.col(c), F.lit("") if kinds[c].simpleString() == "string" else F.array().cast(kinds[c]))
+    return pages.withColumns({c: fill(c) for c in (p.split(" ")[0] for p in SCHEMA.split(", ")) if c in kinds})
+
+
 def extract(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, fields of SCHEMA) of HTML texts."""
     names = [p.split(" ")[0] for p in SCHEMA.split(", ")]
