@@ -82,8 +82,21 @@ def diff(cells: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_changes(snapshots: DataFrame, pages: DataFrame, pdfs: DataFrame) -> DataFrame:
-    """Changes of pages (content) and pdfs (text) between consecutive snapshots."""
+#: Fields that are compared unless others are named: the content of a page, the text of a file.
+PAGE_FIELDS, PDF_FIELDS = ("content",), ("text",)
+
+
+def snapshot_changes(snapshots: DataFrame, pages: DataFrame, pdfs: DataFrame, page_fields: tuple[str, ...] = PAGE_FIELDS, pdf_fields: tuple[str, ...] = PDF_FIELDS) -> DataFrame:
+    """Changes of pages and pdfs between consecutive snapshots, in the named fields; texts are compared squeezed, other
+    fields as JSON, and null counts as empty."""
+
+    def value(df: DataFrame, c: str) -> Column:
+        text = df.schema[c].dataType.simpleString() == "string"
+        return squeeze(F.coalesce(c, F.lit(""))) if text else F.to_json(F.struct(c))
+
     ranks = snapshot_ranks(snapshots)
-    parts = [latest(pages, "page", "page_id", {"body": squeeze(F.coalesce("content", F.lit("")))}), latest(pdfs, "pdf", "pdf_id", {"body": squeeze(F.coalesce("text", F.lit("")))})]
-    return diff(signed_cells(parts[0].unionByName(parts[1]), ranks, ["body"])).withColumn("changed_fields", F.transform("changed_fields", lambda f: F.when(f == "body", F.when(F.col("rec_kind") == "page", "content").otherwise("text")).otherwise(f)))
+    both = []
+    for df, kind, id_col, names in ((pages, "page", "page_id", page_fields), (pdfs, "pdf", "pdf_id", pdf_fields)):
+        standing = latest(df, kind, id_col, {c: value(df, c) for c in names})
+        both.append(signed_cells(standing, ranks, list(names)))
+    return diff(both[0].unionByName(both[1]))

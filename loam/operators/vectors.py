@@ -168,6 +168,16 @@ def near(queries: DataFrame, items: DataFrame, bits: int, radius: int, apart: tu
     return asked.join(items.select("vec_id", *apart, "sig"), [*apart, "sig"]).where(F.col("q_id") != F.col("vec_id")).select("q_id", "vec_id")
 
 
+def near_any(queries: DataFrame, items: DataFrame, tables: list[list[list[float]]], radius: int) -> DataFrame:
+    """(q_id, vec_id): pairs that are near in any of several tables of hyperplanes; both sides are (vec_id, embedding)."""
+    every = None
+    for hyper in tables:
+        sign = lambda df: df.select("vec_id", signature(F.col("embedding"), hyper).alias("sig"))  # noqa: B023, E731
+        part = near(sign(queries).withColumnRenamed("vec_id", "q_id"), sign(items), len(hyper), radius)
+        every = part if every is None else every.unionByName(part)
+    return every.distinct()
+
+
 def best_hit(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """(q_id, vec_id, score): the most similar usable candidate of each query; the first id of equals."""
     v = vectors.select("vec_id", "embedding")

@@ -11,13 +11,14 @@ from loam.sources.tables import table
 
 
 def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Changes with the fields that changed, as comma list."""
-    out = snapshot_diff.snapshot_changes(table(spark, folder, "snapshots"), table(spark, folder, "pages"), table(spark, folder, "pdfs"))
+    """Changes of text, title and category, with the fields that changed as comma list."""
+    t = lambda n: table(spark, folder, n)
+    out = snapshot_diff.snapshot_changes(t("snapshots"), t("pages"), t("pdfs"), ("content", "title", "category"), ("text", "title", "category"))
     return out.withColumn("changed_fields", F.array_join("changed_fields", ","))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p2_changes(spark, folder).drop("changed_fields")
+    return snapshot_diff.snapshot_changes(table(spark, folder, "snapshots"), table(spark, folder, "pages"), table(spark, folder, "pdfs")).drop("changed_fields")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,13 +38,14 @@ def p4_cells(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", F.col("path").alias("row_path"), F.posexplode("cells").alias("cell_no", "cell"))
 
 
+_SQUEEZED = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '{WS}+', ' ', 'g'))"
 _P2_SQL = f"""
 WITH k AS (
   SELECT snapshot_id, 'page' AS rec_kind, regexp_replace(lower(split_part(url, '#', 1)), '/+$', '') AS url_key, ts, page_id AS id,
-         trim(regexp_replace(coalesce(content, ''), '{WS}+', ' ', 'g')) AS body FROM pages WHERE url IS NOT NULL
+         {_SQUEEZED('content')} AS body, {_SQUEEZED('title')} AS title, {_SQUEEZED('category')} AS category FROM pages WHERE url IS NOT NULL
   UNION ALL
   SELECT snapshot_id, 'pdf', regexp_replace(lower(split_part(url, '#', 1)), '/+$', ''), ts, pdf_id,
-         trim(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g')) FROM pdfs WHERE url IS NOT NULL),
+         {_SQUEEZED('text')}, {_SQUEEZED('title')}, {_SQUEEZED('category')} FROM pdfs WHERE url IS NOT NULL),
 s AS (SELECT snapshot_id, row_number() OVER (ORDER BY taken_at NULLS FIRST, snapshot_id) AS r FROM snapshots),
 l AS (SELECT r, k.* FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, rec_kind, url_key ORDER BY ts DESC NULLS LAST, id DESC) AS n FROM k) k
       JOIN s USING (snapshot_id) WHERE n = 1),
@@ -56,7 +58,9 @@ QUERIES = {"p2_found": p2_found, "p2_changes": p2_changes, "p4_found": p4_found,
 
 ORACLES = {
     "p2_found": _P2_SQL,
-    "p2_changes": f"SELECT q.*, CASE WHEN change = 'changed' THEN CASE rec_kind WHEN 'page' THEN 'content' ELSE 'text' END ELSE '' END AS changed_fields FROM ({_P2_SQL}) q",
+    "p2_changes": _P2_SQL.replace("a.body <> b.body", "a.body <> b.body OR a.title <> b.title OR a.category <> b.category").replace("END AS change\n", """END AS change,
+        CASE WHEN a.url_key IS NULL OR b.url_key IS NULL THEN '' ELSE array_to_string(list_sort(list_filter([CASE WHEN a.body <> b.body THEN CASE a.rec_kind WHEN 'page' THEN 'content' ELSE 'text' END END, CASE WHEN a.title <> b.title THEN 'title' END, CASE WHEN a.category <> b.category THEN 'category' END], lambda x: x IS NOT NULL)), ',') END AS changed_fields
+""").replace("d.url_key, d.change FROM d", "d.url_key, d.change, d.changed_fields FROM d"),
     "p4_cells": """
 SELECT page_id, 'tables[' || (t - 1) || '][' || (r - 1) || ']' AS row_path, CAST(c - 1 AS INTEGER) AS cell_no, row_[c] AS cell FROM (
   SELECT page_id, t, r, row_, unnest(generate_series(1, len(row_))) AS c FROM (
