@@ -212,7 +212,7 @@ VOWEL = "[aeiouy@0136!5]"
 
 def candidates(counts: DataFrame) -> DataFrame:
     """(word, n, known, other, n_other): pairs of a word and a more frequent one that is near."""
-    fit_ = counts.where((F.col("whole") > 0) & F.length("word").between(3, 24) & F.col("word").rlike(r"[a-z]") & F.col("word").rlike(VOWEL))
+    fit_ = counts.where((F.col("whole") > 0) & (F.length("word") >= 3) & F.col("word").rlike(r"[a-z]") & F.col("word").rlike(VOWEL))
     trusted = fit_.where((F.col("n") >= TRUSTED) & F.col("word").rlike(r"^[a-z]+(?:-[a-z]+)*$")).select(F.col("word").alias("other"), F.col("n").alias("n_other"))
     index = trusted.select("other", "n_other", F.explode(grams(F.col("other"))).alias("x")).select("other", "n_other", F.explode(F.array(F.col("x.at") - 1, F.col("x.at"), F.col("x.at") + 1)).alias("at"), "x.g")
     asked = fit_.select("word", "n", "known", F.explode(grams(F.col("word"))).alias("x")).select("word", "n", "known", "x.at", "x.g")
@@ -265,8 +265,9 @@ def edit_odds(pairs: DataFrame) -> DataFrame:
     each = best.select(F.explode(F.array_distinct("edits")).alias("edit"), F.col("known").cast("int").alias("p"))
     whole = best.agg(F.count_if("known").alias("a"), F.count_if(~F.col("known")).alias("b")).first()
     odds = each.groupBy("edit").agg(F.sum("p").alias("a"), (F.count("*") - F.sum("p")).alias("b")).select("edit", (F.log((F.col("b") + 0.3) / (F.col("a") + 0.3)) - math.log(((whole["b"] or 0) + 1) / ((whole["a"] or 0) + 1))).alias("odds"), F.col("b").alias("seen"), F.col("a").alias("shown"))
-    top = F.max(F.when(F.col("odds") > 0, F.col("seen"))).over(W.partitionBy())
-    return odds.withColumn("usual", F.col("seen") / F.coalesce(top, F.lit(1)))
+    odds = cut(odds)
+    top = odds.where("odds > 0").agg(F.max("seen")).first()[0] or 1
+    return odds.withColumn("usual", F.col("seen") / F.lit(top))
 
 
 _ODD = re.compile(r"[^a-z-]")

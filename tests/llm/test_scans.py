@@ -112,3 +112,48 @@ def test_boosting():
     p = Boosted().fit(x[:2000], y[:2000]).predict(x[2000:])
     assert ((p > 0.5) == y[2000:]).mean() > 0.95
     assert Boosted().fit(np.zeros((0, 2)), np.zeros(0)).predict(np.zeros((1, 2)))[0] < 0.5
+
+
+def grown(files, seed=3):
+    """(rows, lines with a misread word) of files, half of them scans; the same words and errors at every size."""
+    rng = np.random.default_rng(seed)
+    syllables = [a + b for a in "b d f g k l m n p r s t v".split() for b in "a e i o u".split()]
+    words = sorted({"".join(np.random.default_rng(i).choice(syllables, 2 + i % 3)) + ("n" if i % 4 == 0 else "") for i in range(260)})
+    # Plurals, and rarer words a letter away: variation that is no damage.
+    near = [w[:-1] + ("u" if w[-1] != "u" else "i") for w in words[:60]]
+    every = words + [f"{w}s" for w in words[::2]] + near
+    share = np.array([1.0] * len(words) + [0.12] * (len(every) - len(words)))
+    words, share = every, share / share.sum()
+    edits = [("e", "c"), ("t", "f"), ("n", "ri"), ("m", "rn"), ("o", "0"), ("l", "!"), ("d", "cl")]
+    rows, wrong = [], set()
+    for i in range(files):
+        body = [str(w) for w in rng.choice(words, 160, p=share)]
+        if i % 2:
+            rows.append((i, f"File {i}", " ".join(body) + ".", 1))
+            continue
+        out = []
+        for w in body:
+            a, b = edits[rng.integers(len(edits))]
+            bad = a in w and rng.random() < 0.15
+            out.append((w.replace(a, b, 1) if bad else w, bad and w.replace(a, b, 1) not in words))
+        lines = wrap([w for w, _ in out])
+        at = 0
+        for n, line in enumerate(lines, 1):
+            k = len(line.split())
+            if any(bad for _, bad in out[at : at + k]):
+                wrong.add((i, n))
+            at += k
+        rows.append((i, f"File {i}", "\n".join(lines), 1))
+    return rows, wrong
+
+
+def test_recall_holds_as_the_corpus_grows(spark):
+    """Four and sixteen times the files: nearly the same share of the misread lines is found, and few others."""
+    recalls = []
+    for files in (60, 240, 960):
+        rows, wrong = grown(files)
+        df = spark.createDataFrame([(*r, "e", "h") for r in rows], SCHEMA)
+        got = {(r["pdf_id"], r["line_no"]) for r in scans.found(df).where("damage = 'chars'").collect()}
+        recalls.append(len(wrong & got) / len(wrong))
+        assert len(got - wrong) <= 0.05 * len(got), files
+    assert min(recalls) > 0.9 and min(recalls[1:]) >= recalls[0] - 0.02, recalls
