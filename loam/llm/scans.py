@@ -257,15 +257,22 @@ def pair_edits(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "word string, other string, n bigint, known boolean, n_other bigint, edits array<string>").where(F.size("edits") <= F.when(F.length("word") >= 9, 3).when(F.length("word") >= 5, 2).otherwise(1))
 
 
+#: Occurrences that every edit starts with.
+SMALL = 0.3
+
+
 def edit_odds(pairs: DataFrame) -> DataFrame:
     """(edit, odds, seen, shown, usual): log of how much more often an edit occurs for words of wrapped files than for
     others; how many words have it in either; its frequency against that of the most usual edit."""
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy(F.size("edits"), F.desc("n_other"), "other"))).where("r = 1")
     # By number of distinct words, so that one frequent word does not make an edit.
     each = best.select(F.explode(F.array_distinct("edits")).alias("edit"), F.col("known").cast("int").alias("p"))
-    whole = best.agg(F.count_if("known").alias("a"), F.count_if(~F.col("known")).alias("b")).first()
-    odds = each.groupBy("edit").agg(F.sum("p").alias("a"), (F.count("*") - F.sum("p")).alias("b")).select("edit", (F.log((F.col("b") + 0.3) / (F.col("a") + 0.3)) - math.log(((whole["b"] or 0) + 1) / ((whole["a"] or 0) + 1))).alias("odds"), F.col("b").alias("seen"), F.col("a").alias("shown"))
-    odds = cut(odds)
+    counts = cut(each.groupBy("edit").agg(F.sum("p").alias("a"), (F.count("*") - F.sum("p")).alias("b")))
+    # Each edit starts with SMALL of both; so do the sums, and a corpus without variation of its own says little.
+    whole = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n")).first()
+    start = SMALL * max(1, whole["n"])
+    usual = math.log(((whole["b"] or 0) + start) / ((whole["a"] or 0) + start))
+    odds = counts.select("edit", (F.log((F.col("b") + SMALL) / (F.col("a") + SMALL)) - usual).alias("odds"), F.col("b").alias("seen"), F.col("a").alias("shown"))
     top = odds.where("odds > 0").agg(F.max("seen")).first()[0] or 1
     return odds.withColumn("usual", F.col("seen") / F.lit(top))
 
