@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loam.functions.text import WS
-from loam.functions.urls import file_name, pdf_key
+from loam.functions.urls import file_name, pdf_key, resolve
 from loam.operators.ranking import numbered
 
 # Most links of a question; score of a link among sources.
@@ -37,10 +37,12 @@ def unique_pdfs(pdfs: DataFrame) -> DataFrame:
     return pdfs.where("url is not null").select(pdf_key(F.col("url")).alias("pdf_key"), "url", "pdf_id").groupBy("pdf_key").agg(F.min_by("url", "pdf_id").alias("url"), F.count("*").alias("captures"))
 
 
-def cleaned(links: DataFrame) -> DataFrame:
-    """Links that lead somewhere, the first for each page and target."""
+def cleaned(links: DataFrame, resolved: bool = False) -> DataFrame:
+    """Links that lead somewhere, the first for each page and target; with resolved, targets are made absolute first."""
     low = F.lower("url")
     kept = links.where(F.col("url").isNotNull() & (F.col("url") != "") & ~low.startswith("javascript:") & ~low.startswith("mailto:") & ~low.startswith("tel:") & (F.col("url") != "#"))
+    if resolved:
+        kept = kept.withColumn("url", resolve(F.col("source_url"), F.col("url"))).where("url is not null")
     return first_by(kept.select("snapshot_id", "source_url", "url", "link_id", "text", "link_type"), ["snapshot_id", "source_url", "url"], ["link_id"])
 
 

@@ -27,16 +27,23 @@ _WS = re.compile(f"{PY_WS}+")
 def responses(pages: DataFrame) -> DataFrame:
     """(page_id, pos, url, status, data) of all captured responses."""
     each = pages.select("page_id", F.posexplode("xhr_responses").alias("pos", "r"))
-    return each.select("page_id", "pos", "r.url", "r.status", "r.data")
+    held = each.schema["r"].dataType.fieldNames()
+    return each.select("page_id", "pos", "r.url", "r.status", "r.data", *[f"r.{c}" for c in ("content_type",) if c in held])
 
 
 def accepted(pages: DataFrame) -> DataFrame:
-    """The first response of each page and url, if its status is good; a bad first one hides later ones."""
+    """The first response of each page and url, if its status is good and its body is a JSON object or array; a bad
+    first one hides later ones. A type of content, where the responses have one, must be JSON or empty."""
     kept = responses(pages).where("url is not null")
     for part in IGNORED:
         kept = kept.where(~F.contains(F.lower("url"), F.lit(part)))
-    first = kept.groupBy("page_id", "url").agg(F.min_by(F.struct("pos", "status", "data"), "pos").alias("x")).select("page_id", "url", "x.*")
-    return first.where(F.col("status").between(200, 299))
+    first = kept.groupBy("page_id", "url").agg(F.min_by(F.struct(*[c for c in kept.columns if c not in ("page_id", "url")]), "pos").alias("x")).select("page_id", "url", "x.*")
+    body = F.ltrim("data")
+    good = F.col("status").between(200, 299) & (F.startswith(body, F.lit("{")) | F.startswith(body, F.lit("["))) & F.try_parse_json("data").isNotNull()
+    if "content_type" in kept.columns:
+        kind = F.lower(F.coalesce("content_type", F.lit("")))
+        good = good & ((kind == "") | F.contains(kind, F.lit("json")))
+    return first.where(good)
 
 
 def fragments(value: object, path: tuple[str, ...] = (), depth: int = 0) -> Iterator[str]:

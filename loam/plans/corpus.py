@@ -484,7 +484,7 @@ def sitemap_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT page_id, pos - 1 AS pos, r.status AS status FROM (SELECT page_id, r, pos, row_number() OVER (PARTITION BY page_id, r.url ORDER BY pos) AS n FROM (
-  SELECT page_id, unnest(xhr_responses) AS r, generate_subscripts(xhr_responses, 1) AS pos FROM pages) WHERE r.url IS NOT NULL """ + " ".join(f"AND NOT contains(lower(r.url), '{x}')" for x in xhr.IGNORED) + ") WHERE n = 1 AND r.status BETWEEN 200 AND 299")
+  SELECT page_id, unnest(xhr_responses) AS r, generate_subscripts(xhr_responses, 1) AS pos FROM pages) WHERE r.url IS NOT NULL """ + " ".join(f"AND NOT contains(lower(r.url), '{x}')" for x in xhr.IGNORED) + ") WHERE n = 1 AND r.status BETWEEN 200 AND 299 AND json_valid(r.data) AND json_type(r.data) IN ('OBJECT', 'ARRAY')")
 def xhr_accepted(spark: SparkSession, d: str) -> DataFrame:
     return xhr.accepted(pages(spark, d)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "status")
 

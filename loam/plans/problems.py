@@ -56,7 +56,17 @@ SELECT s.snapshot_id, d.rec_kind, d.url_key, d.change FROM d JOIN s ON s.r = d.r
 
 QUERIES = {"p2_found": p2_found, "p2_changes": p2_changes, "p4_found": p4_found, "p4_fields": p4_fields, "p4_columns": p4_columns, "p4_cells": p4_cells}
 
+# A case is an object whose place ends in an index; its parent is the longest place of another case that it lies in.
+_P4_SQL = """
+WITH r AS (SELECT page_id, i - 1 AS i, xhr_responses[i].data AS data FROM (SELECT page_id, xhr_responses, unnest(generate_series(1, len(xhr_responses))) AS i FROM pages)),
+t AS (SELECT r.page_id, r.i, j.fullkey, j.type FROM r, json_tree(CASE WHEN json_valid(data) THEN data END) j WHERE data IS NOT NULL),
+c AS (SELECT page_id, i, replace(fullkey, '"', '') AS k FROM t WHERE type = 'OBJECT' AND ends_with(fullkey, ']')),
+p AS (SELECT c.page_id, c.i, c.k, arg_max(o.k, length(o.k)) AS above FROM c LEFT JOIN c o ON o.page_id = c.page_id AND o.i = c.i AND length(o.k) < length(c.k) AND starts_with(c.k, o.k) AND substr(c.k, length(o.k) + 1, 1) IN ('.', '[') GROUP BY 1, 2, 3)
+SELECT page_id, 'xhr_responses[' || i || '].data' || k[2:] AS path, CASE WHEN above IS NULL THEN 'xhr_responses[' || i || ']' ELSE 'xhr_responses[' || i || '].data' || above[2:] END AS parent_path FROM p
+UNION ALL SELECT page_id, 'tables[' || (t - 1) || '][' || (n - 1) || ']', 'tables[' || (t - 1) || ']' FROM (
+  SELECT page_id, t, unnest(generate_series(1, len(tab))) AS n FROM (SELECT page_id, t, tables[t] AS tab FROM (SELECT page_id, tables, unnest(generate_series(1, len(tables))) AS t FROM pages)))"""
 ORACLES = {
+    "p4_found": _P4_SQL,
     "p2_found": _P2_SQL,
     "p2_changes": _P2_SQL.replace("a.body <> b.body", "a.body <> b.body OR a.title <> b.title OR a.category <> b.category").replace("END AS change\n", """END AS change,
         CASE WHEN a.url_key IS NULL OR b.url_key IS NULL THEN '' ELSE array_to_string(list_sort(list_filter([CASE WHEN a.body <> b.body THEN CASE a.rec_kind WHEN 'page' THEN 'content' ELSE 'text' END END, CASE WHEN a.title <> b.title THEN 'title' END, CASE WHEN a.category <> b.category THEN 'category' END], lambda x: x IS NOT NULL)), ',') END AS changed_fields

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loam.functions import codec, dates, language, urls
-from loam.operators import crawl, files, items, ledger, matching, response_cache, shred, vectors, xhr
+from loam.operators import crawl, files, items, ledger, links, matching, response_cache, shred, vectors, xhr
 from loam.sources import sitemap, snapshots
 
 
@@ -216,3 +216,29 @@ def test_index_recall(spark, small):
     found = {(r["q_id"], r["vec_id"]) for r in pairs.collect()}
     recall = sum((q, b) in found for q, b in best.items()) / len(best)
     assert recall >= 0.9, recall
+
+
+def test_binary_files(spark, tmp_path):
+    from loam.sources import binary
+
+    for name, body in (("a.bin", b"two|text a"), ("b.bin", b"broken"), ("c.bin", b"x" * 100), ("d.bin", b"one|text d")):
+        (tmp_path / name).write_bytes(body)
+
+    def extract(c):
+        head, text = c.decode().split("|")
+        return text, {"one": 1, "two": 2}[head]
+
+    def recognise(c):
+        if c.startswith(b"one"):
+            raise ValueError
+        return " seen " if c.startswith(b"two") else ""
+
+    got = {r["path"][-5:]: (r["text"], r["pages"], r["error"] is None) for r in binary.read_texts(spark, str(tmp_path), extract, recognise, 50).collect()}
+    assert got == {"a.bin": ("seen", 2, True), "b.bin": (None, None, False), "c.bin": (None, None, False), "d.bin": ("text d", 1, True)}
+
+
+def test_clean_links_resolved(spark):
+    rows = [(1, 1, "https://h.example/a/", "b", "x", "internal"), (2, 1, "https://h.example/a/", "https://h.example/a/b", "y", "internal"), (3, 1, "https://h.example/a/", "#", "z", "internal")]
+    df = spark.createDataFrame(rows, "link_id bigint, snapshot_id int, source_url string, url string, text string, link_type string")
+    assert [(r["url"], r["link_id"]) for r in links.cleaned(df, resolved=True).collect()] == [("https://h.example/a/b", 1)]
+    assert links.cleaned(df).count() == 2
