@@ -46,6 +46,13 @@ def cleaned(links: DataFrame, resolved: bool = False) -> DataFrame:
     return first_by(kept.select("snapshot_id", "source_url", "url", "link_id", "text", "link_type"), ["snapshot_id", "source_url", "url"], ["link_id"])
 
 
+def with_source_titles(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links or files (snapshot_id, source_url, source_title) with the title of the page they stand on, where that page was
+    captured in the same snapshot: the last captured title that is not null."""
+    titles = pages.where("title is not null").groupBy("snapshot_id", F.col("url").alias("source_url")).agg(F.max_by("title", "page_id").alias("__title"))
+    return rows.join(titles, ["snapshot_id", "source_url"], "left").withColumn("source_title", F.coalesce("__title", "source_title")).drop("__title")
+
+
 def key_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), f"{WS}+", "_")
 

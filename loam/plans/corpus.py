@@ -102,8 +102,7 @@ def links_of_type(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l.link_id, coalesce(p.title, l.source_title) AS source_title FROM links l LEFT JOIN (
   SELECT snapshot_id, url, arg_max(title, page_id) AS title FROM pages WHERE title IS NOT NULL GROUP BY 1, 2) p ON l.snapshot_id = p.snapshot_id AND l.source_url = p.url""")
 def link_backfill(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).where("title is not null").groupBy("snapshot_id", F.col("url").alias("source_url")).agg(F.max_by("title", "page_id").alias("page_title"))
-    return link_rows(spark, d).join(p, ["snapshot_id", "source_url"], "left").select("link_id", F.coalesce("page_title", "source_title").alias("source_title"))
+    return links.with_source_titles(link_rows(spark, d), pages(spark, d)).select("link_id", "source_title")
 
 
 _LK = f"regexp_replace(lower(coalesce(X, '')), '{WS}+', '_', 'g')"
@@ -179,14 +178,14 @@ def item_dates(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", F.unix_millis(dates.item_date(ms.cast("string"))).alias("ms"))
 
 
-@query("""WITH ok AS (SELECT DISTINCT lower(url) AS u FROM pdfs WHERE published_at IS NOT NULL)
-SELECT pdf_id FROM pdfs WHERE coalesce(category, '') NOT IN ('tender', 'notices') OR lower(url) IN (SELECT u FROM ok)""")
+@query("""WITH ok AS (SELECT DISTINCT lower(url) AS u FROM pdfs WHERE published_at IS NOT NULL),
+c AS (SELECT pdf_id, url, coalesce(nullif(category, ''), CASE WHEN contains(lower(url), '/uploads/tender/') THEN 'tender' WHEN contains(lower(url), '/uploads/notices/') OR contains(lower(url), '/uploads/recruitments/') THEN 'notices' END) AS c FROM pdfs)
+SELECT pdf_id FROM c WHERE coalesce(lower(c), '') NOT IN ('tender', 'notices') OR lower(url) IN (SELECT u FROM ok)""")
 def pdf_allowed(spark: SparkSession, d: str) -> DataFrame:
     """Tender and notice files only if they are listed with a date; others pass."""
     p = pdfs(spark, d)
-    bound = F.coalesce("category", F.lit("")).isin("tender", "notices")
-    listed = p.where("published_at is not null").select(F.lower("url").alias("u")).distinct()
-    return p.where(~bound).select("pdf_id").unionByName(p.where(bound).withColumn("u", F.lower("url")).join(listed, "u", "left_semi").select("pdf_id"))
+    listed = p.where("published_at is not null and url is not null").select(F.lower("url").alias("file_key")).distinct()
+    return files.allowed(p, listed).select("pdf_id")
 
 
 # Texts and items ---------------------------------------------------------------------------------------------------

@@ -180,7 +180,12 @@ def page_content(spark: SparkSession, d: str) -> DataFrame:
 # Items, chunks, ledgers --------------------------------------------------------------------------------------------
 
 
-@query()
+_DIRECTORY = corpus.ORACLES["links_directory"].replace("sha256('PDF", "('PDF").replace(") AS hash FROM p FULL", ") AS text FROM p FULL")
+_VIRTUAL = " UNION ALL ".join(f"SELECT snapshot_id, '{url}' AS url, 'page' AS type, '{title}' AS title, 'virtual' AS category, text FROM ({sql})" for url, title, sql in (("virtual://links-directory", "Website Links Directory", _DIRECTORY), ("virtual://statistics", "Website Statistics Overview", corpus.ORACLES["stats_item"])))
+
+
+@query(f"""SELECT snapshot_id, url, type, title, category, sha256(text) AS hash, CAST(len(string_split({corpus._SQ}, ' ')) AS BIGINT) AS word_count FROM (
+SELECT * FROM {corpus._ITEMS} UNION ALL SELECT * FROM ({_VIRTUAL}) WHERE length({corpus._TRIM('text')}) > 100)""")
 def items_all(spark: SparkSession, d: str) -> DataFrame:
     """All four kinds of items."""
     held = items.all_items(pages(spark, d), pdfs(spark, d), link_rows(spark, d))
