@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loam.llm.boosting import Boosted
-from loam.storage import cut
+from loam.storage import cut, sized
 
 WIDEST = 100
 #: Share of the lines with white space that must not be wider.
@@ -347,11 +347,10 @@ def run_together(counts: DataFrame) -> DataFrame:
 def torn_apart(body: DataFrame, counts: DataFrame) -> DataFrame:
     """(h, line_no, i, word, replacement): trusted words with a space inside them, as two neighbouring rows.
 
-    body has the words of lines (h, line_no, i, word); at least one part is not known from unwrapped files.
+    body has the words of lines, each with the next one (h, line_no, i, word, next); at least one part is not known from unwrapped files.
     """
-    order = W.partitionBy("h", "line_no").orderBy("i")
-    pairs = body.select("h", "line_no", "i", F.col("word").alias("a"), F.lead("word").over(order).alias("b")).where(F.col("a").rlike("^[a-z]+$") & F.col("b").rlike("^[a-z]+$"))
-    known = counts.where((F.col("n") >= TRUSTED) & F.col("known") & (F.length("word") >= 4)).select(F.col("word").alias("joined"))
+    pairs = body.where(F.col("word").rlike("^[a-z]+$") & F.col("next").rlike("^[a-z]+$")).select("h", "line_no", "i", F.col("word").alias("a"), F.col("next").alias("b"))
+    known = sized(counts.where((F.col("n") >= TRUSTED) & F.col("known") & (F.length("word") >= 4)).select(F.col("word").alias("joined")))
     plain = counts.where("known")
     named = pairs.withColumn("joined", F.concat("a", "b")).join(known, "joined")
     rare = named.join(plain.select(F.col("word").alias("a"), F.lit(1).alias("pa")), "a", "left").join(plain.select(F.col("word").alias("b"), F.lit(1).alias("pb")), "b", "left").where("pa is null or pb is null")
@@ -414,14 +413,15 @@ def damage(pdfs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     ranked = corrections(counts).withColumn("o", F.lit(2)).unionByName(run_together(counts).withColumn("o", F.lit(1))).unionByName(odd_words(counts).withColumn("o", F.lit(3)))
     wrong = ranked.groupBy("word").agg(F.min_by("replacement", "o").alias("replacement"))
     breaks = cut(line_breaks(lines, counts))
-    body = lines.where(~F.col("furniture")).select("h", "line_no", F.posexplode(F.split("line", r"\s+")).alias("i", "w"))
-    # Pieces of broken words are not misread.
-    ends = breaks.select("h", "line_no").distinct().withColumn("cut_", F.lit(True))
-    starts = breaks.select("h", F.col("next_no").alias("line_no")).distinct().withColumn("cont", F.lit(True))
-    last = F.max("i").over(W.partitionBy("h", "line_no"))
-    held = body.withColumn("last", last).join(ends, ["h", "line_no"], "left").join(starts, ["h", "line_no"], "left").where(~(F.coalesce("cut_", F.lit(False)) & (F.col("i") == F.col("last"))) & ~(F.coalesce("cont", F.lit(False)) & (F.col("i") == 0)))
-    body_words = held.select("h", "line_no", "i", bare_word(F.col("w")).alias("word"))
-    misread = body_words.join(wrong, "word").select("h", "line_no", "i", "word", "replacement")
+    # Pieces of broken words are not misread: the last word before a break and the first one after it are left out.
+    ends = breaks.select("h", "line_no").distinct().withColumn("cut_", F.lit(1))
+    starts = breaks.select("h", F.col("next_no").alias("line_no")).distinct().withColumn("cont", F.lit(1))
+    body = lines.where(~F.col("furniture")).select("h", "line_no", "line").join(ends, ["h", "line_no"], "left").join(starts, ["h", "line_no"], "left").fillna(0, ["cut_", "cont"])
+    arrays = body.select("h", "line_no", "cut_", "cont", F.transform(F.split("line", r"\s+"), bare_word).alias("ws"))
+    stop = F.size("ws") - F.col("cut_")
+    each = F.transform("ws", lambda w, i: F.struct(i.alias("i"), w.alias("word"), F.when(i + 1 < stop, F.get("ws", i + 1)).alias("next")))
+    body_words = arrays.select("h", "line_no", F.explode(F.filter(each, lambda x: (x["i"] >= F.col("cont")) & (x["i"] < stop))).alias("x")).select("h", "line_no", "x.*")
+    misread = body_words.join(sized(wrong), "word").select("h", "line_no", "i", "word", "replacement")
     found = misread.unionByName(torn_apart(body_words, counts))
     return keys, lines, breaks, found
 
